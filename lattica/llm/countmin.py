@@ -39,7 +39,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, _ARROW.types)], schema=_ARROW)
 
 
-def chunks(docs: DataFrame, folder: str, most: int = 8 << 20) -> DataFrame:
+def chunks(docs: DataFrame, folder: str, most: int = 4 << 20) -> DataFrame:
     """docs (doc_id, text) -> written table (chunk, path) of Parquet files of about `most` bytes of text each.
 
     Only the files of attempts that ended are listed."""
