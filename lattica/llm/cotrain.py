@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import pick, slices, strings
 
-LABELLED, UNLABELLED, WORDS, ROUNDS, SURE = 6000, 3000, 1500, 3, 0.97
+LABELLED, UNLABELLED, WORDS, ROUNDS, SURE = 6000, 2000, 1500, 2, 0.97
 HEADS = ("quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER, _DIGITS, _MARKS = bytes(range(65, 91)), bytes(range(48, 58)), b"!?%&$*|#@=<>{}[]~^\\/_+"
 BINS, MEASURES = 8, 9
 
 
-def text_view(text: str | None) -> tuple[list[str], list[float]]:
-    """(lower-case words, surface measures). Null: as empty."""
+def text_view(text: str | None) -> tuple[set[str], list[float]]:
+    """(distinct lower-case words and, marked with *, first five letters of longer ones; surface measures). Null: as
+    empty."""
     text = text or ""
-    words = _WORD.findall(text.lower())
+    words = set(_WORD.findall(text.lower()))
+    words |= {w[:5] + "*" for w in words if len(w) > 5}
     raw, n = text.encode("utf-8", "surrogatepass"), max(1, len(text))
     lines, parts = text.split("\n"), raw.split()
     types = len(set(parts))
@@ -62,7 +64,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int, use: np.ndarray, l2: float = 2e-3, steps: int = 120) -> np.ndarray:
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int, use: np.ndarray, l2: float = 5e-4, steps: int = 200) -> np.ndarray:
     """Logistic regression on binary features (rows, cols), on the rows in `use`; the last weight is the bias."""
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     keep = use[rows] > 0
@@ -83,8 +85,8 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2 * len(z)] * (x.shape[1] - 1) + [1e-6]) / 10
-        step = np.linalg.solve(h, x.T @ (p - y) + np.r_[1e-3 * len(z) * w[:-1], 0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-4 * len(z)] * (x.shape[1] - 1) + [1e-6])
+        step = np.linalg.solve(h, x.T @ (p - y) + np.r_[1e-4 * len(z) * w[:-1], 0])
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -135,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
             words, measures, meta = [], [], []
             for t, lang, source, n in zip(strings(b.column("text")), *[b.column(c).to_pylist() for c in ("lang", "source", "n_chars")]):
                 w, x = text_view(t)
-                words.append(list(set(w)))
+                words.append(list(w))
                 measures.append(x)
                 meta.append(meta_view(lang, source, n))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(measures, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32())), b.column("quality"), b.column("toxic")], names=["words", "measures", "meta", "quality", "toxic"])
@@ -172,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         z[a + b < 5] = 0
         best = np.argsort(-np.abs(z), kind="stable")[:WORDS]
-        best = best[np.abs(z[best]) > 2.5]
+        best = best[np.abs(z[best]) > 4]
         place = np.full(len(names), -1)
         place[best] = np.arange(len(best))
         hit = place[codes] >= 0
