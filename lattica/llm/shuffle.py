@@ -20,6 +20,9 @@ from pyspark.sql.utils import AnalysisException
 
 from .common import partitions, written
 
+#: File names of at most so many bytes are broadcast.
+NAMES = 64 << 20
+
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     """How many of n draws without replacement are good. Above numpy's limit of 10^9: ratio of uniforms (HRUA)."""
@@ -118,6 +121,8 @@ def shuffled(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
         raise ValueError("more than 8 million input files: compact them first")
     known = spark.sparkContext.broadcast(before)
     names = spark.createDataFrame([(f["__file"], i) for i, f in enumerate(files)], "__file string, __p int")
+    if sum(len(f["__file"]) + 32 for f in files) <= NAMES:  # else the join is a shuffle by file
+        names = F.broadcast(names)
 
     @F.pandas_udf("int")
     def part(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
