@@ -6,7 +6,7 @@ document that repeats it or is similar (the same last seven digits, or the same
 chain of links and never all pairs. Loopy message passing then makes the labels of a document's mentions agree.
 Weights are trained here, by pseudo-likelihood on a bounded sample of documents in which the base detectors give the
 labels and half of the tokens have the base detectors' features hidden, so that shape, context and links must explain
-them.
+them. Findings are also mentioned again in part, unseen by the base detectors, for the links to be learned.
 """
 
 from __future__ import annotations
@@ -131,6 +131,25 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
     return spans, np.array(feats, float).reshape(len(spans), FEATURES), np.array(labels, int), chain, skip
 
 
+def _mentions(text: str) -> list[tuple[str, list[Span]]]:
+    """The text, and the text with each of its findings mentioned again in part, with these mentions' labels: what
+    the base detectors can't see and only the link explains."""
+    base = base_spans(text)
+    again, given = text, []
+    for s, kind, e in base:
+        part = text[s:e].rpartition(" ")[2]
+        digits = "".join(c for c in text[s:e] if c.isdigit())
+        if kind == "email":
+            part = text[s:e].partition("@")[0] + "@"
+        elif sum(c.isdigit() for c in part) != 7:
+            part = digits[-7:]
+        if kind != "ip" and len(part) >= 7:
+            again += " also "
+            given.append((len(again), kind, len(again) + len(part)))
+            again += part
+    return [(text, [])] + ([(again, given)] if given else [])
+
+
 class SkipChain:
     """weights: features x labels; chain and skip: symmetric label x label potentials (logarithms)."""
 
@@ -142,10 +161,11 @@ class SkipChain:
         """Pseudo-likelihood: each label given its token's features and its neighbours' labels."""
         n, rng = len(LABELS), np.random.default_rng(seed)
         xs, ys, cs, ss = [], [], [], []
-        for t in texts:
+        for t, given in [x for t in texts for x in _mentions(t)]:
             spans, f, y, chain, skip = nodes(t, base_spans(t))
             if not len(y):
                 continue
+            y = np.array([next((LABELS.index(k) for a, k, b in given if a < e and s < b), v) for (s, e), v in zip(spans, y)])
             hide = rng.random(len(y)) < 0.5
             for mask in (np.zeros(len(y), bool), hide):
                 g = f.copy()

@@ -1,0 +1,146 @@
+"""The operators' own interfaces: files, spans, searches, models and the pipeline."""
+
+import io
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lattica.llm import ballhash, cotrain, frames, packing, pii, secrets, shuffle, simhash, tiling
+
+from .test_contract import brute_tiles
+
+
+def test_reader_decompresses_only_what_is_asked_for():
+    rng = np.random.default_rng(1)
+    docs = [(i if i != 7 else None, rng.integers(0, 50000, n).astype("<u2")) for i, n in enumerate([5, 0, 3000, 1, 700, 9000, 2, 4, 100])]
+    out = io.BytesIO()
+    w = frames.Writer(out, 2, frame_ids=512)
+    for d, ids in docs:
+        w.add(d, ids.tobytes())
+    w.close()
+    raw = out.getvalue()
+    r = frames.Reader(io.BytesIO(raw), len(raw))
+    assert r.get(4)[0].tolist() == docs[4][1].tolist() and r.decompressed <= 3
+    for d, ids in docs:
+        assert r.get(d)[0].tolist() == ids.tolist()
+    bad = bytearray(raw)
+    bad[40] ^= 1
+    with pytest.raises(frames.Corrupt):
+        frames.Reader(io.BytesIO(bytes(bad)), len(bad)).get(0)
+
+
+def test_near_pairs_by_block_tables(spark):
+    random.seed(3)
+    base = [random.getrandbits(64) for _ in range(30)]
+    fps = base + [b ^ sum(1 << i for i in random.sample(range(64), k)) for b in base for k in (1, 3, 4)]
+    got = {(r.a, r.b, r.distance) for r in simhash.near_pairs(spark.createDataFrame([(f"{x:016x}",) for x in fps + base[:3]], "fingerprint string")).collect()}
+    u = sorted({f"{x:016x}" for x in fps})
+    d = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    assert got == {(a, b, d(a, b)) for a in u for b in u if a < b and d(a, b) <= 3}
+
+
+@pytest.mark.parametrize("blocks,keep,radius,hot", [(4, 2, 6, 20_000), (4, 2, 6, 3), (1, 1, 2, 20_000), (3, 2, 3, 5)])
+def test_ball_hashing_finds_all_links(spark, blocks, keep, radius, hot):
+    random.seed(5)
+    base = [random.getrandbits(64) for _ in range(12)]
+    fps = sorted({b ^ sum(1 << i for i in random.sample(range(64), k)) for b in base for k in range(8) for _ in range(3)} | set(base))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    n = {f: 1 + i % 3 for i, f in enumerate(fps)}
+    df = spark.createDataFrame([(signed(f), n[f]) for f in fps], "fp long, n long")
+    got = ballhash.near_groups(df, radius, blocks, keep, hot).groupBy("fp").agg(F.sum("near").alias("near")).collect()
+    want = {signed(f): sum(n[g] for g in fps if g != f and (f ^ g).bit_count() <= radius) for f in fps}
+    assert {r.fp: r.near for r in got} == {k: v for k, v in want.items() if v}
+
+
+def test_linking_needs_complementary_parts():
+    key = "Zx81Qw72Kp93Lm64Tt55"
+    alone, linked = f"note {key} end", f"user=alice\nthen {key} at https://db.example.com/x"
+    assert secrets.scan(alone) == ([], [])
+    assert [k for _, k, _ in secrets.scan(linked)[1]] == ["identifier", "opaque", "endpoint"]
+    assert secrets.scan(linked.replace("\n", "\n\n"))[1] == []  # another scope
+    assert secrets.scan("user=alice" + " x" * 600 + f" {key}")[1] == []  # too far
+    assert secrets.redact("a password=abcdef1 b") == "a <secret> b" and secrets.redact(None) is None
+
+
+def test_skip_chain_makes_mentions_agree():
+    texts = [f"call +1 (555) 55{i % 10}-{1000 + i} or mail a.{i}@b{i}.example.com and {i} more items" for i in range(300)]
+    model = pii.SkipChain.train(texts)
+    text = "phone +1 (987) 555-4321 now. later " + "word " * 30 + "at 555-4321 again 12 times"
+    base = pii.base_spans(text)
+    assert [k for _, k, _ in base] == ["phone"]
+    added = model.added(text, base)
+    assert [(k, text[s:e]) for s, k, e in added] == [("phone", "555-4321")]
+    assert model.added("only 12 items and 345 more", []) == []
+
+
+def test_tiles_equal_brute_force():
+    random.seed(2)
+    for _ in range(60):
+        item = random.choices("ab c d".split(), k=random.randint(3, 14))
+        doc = random.choices("ab c d".split(), k=random.randint(3, 25))
+        t = tiling.Tiler([(1, item)], 3)
+        got = t.match(doc)
+        assert (got[0][1] if got else []) == brute_tiles(item, doc, 3)
+
+
+def test_first_fit_decreasing_equals_a_scan():
+    random.seed(4)
+    sizes = [random.randint(0, 50) for _ in range(400)]
+    got, rooms = packing.first_fit_decreasing(sizes, 100), []
+    for i in sorted(range(400), key=lambda i: -sizes[i]):
+        b = next((k for k, r in enumerate(rooms) if r >= sizes[i]), None)
+        if b is None:
+            rooms.append(100)
+            b = len(rooms) - 1
+        assert got[i] == (b, 100 - rooms[b])
+        rooms[b] -= sizes[i]
+
+
+def test_matrix_has_exact_sums():
+    rows, cols = [3, 0, 50, 17, 30], np.array([40, 25, 35])
+    m = np.stack([shuffle.matrix_row(p, np.r_[0, np.cumsum(rows)], cols, 9) for p in range(5)])
+    assert m.sum(1).tolist() == rows and m.sum(0).tolist() == cols.tolist()
+    draws = [shuffle.hypergeometric(np.random.default_rng(s), 6 * 10**9, 4 * 10**9, 1000) for s in range(300)]
+    assert abs(np.mean(draws) - 600) < 5 and 10 < np.std(draws) < 21
+
+
+def test_classifier_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = cotrain.train(docs, labels)
+    assert all(a >= 0.85 for a in model.accuracy.values())
+
+
+@pytest.mark.parametrize("which", ["odd", "empty", "sf"])
+def test_pipeline_equals_brute_force(spark, tables, which):
+    """Each stage on its predecessor's rows, by loops; the classifier's own scores are taken as given."""
+    folder = tables[which]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = cotrain.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = []
+    for r in docs.collect():
+        s = dict(zip(cotrain._FIELDS, model.scores(r.text, r.lang, r.source, r.n_chars)))
+        if s["p_quality"] >= 0.5 and s["p_toxic"] < 0.5:
+            rows.append((r.doc_id, r.text))
+    prints = [int(ballhash.majority(np.frombuffer(h, ">u8").astype(np.uint64), [len(h) // 8])[0]) for h in (ballhash.shingle_hashes((t or "").encode()) for _, t in rows)]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        new = [min(comp[j] for j in range(len(rows)) if (prints[i] ^ prints[j]).bit_count() <= 6) for i in range(len(rows))]
+        if new == comp:
+            break
+        comp = new
+    least = {c: min((rows[i][0] for i in range(len(rows)) if comp[i] == c and rows[i][0] is not None), default=None) for c in comp}
+    rows = [(d, t) for (d, t), c in zip(rows, comp) if d is None or d == least[c]]
+    items = [tiling.tokens(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    tiler = tiling.Tiler([(i, t) for i, t in enumerate(items) if len(t) >= 5])
+    rows = [(d, t) for d, t in rows if not any(tiler.coverage(x, ts) >= 0.5 for x, ts in tiler.match(tiling.tokens(t)))]
+    from lattica.llm.tokens import encoder, public
+
+    enc = encoder(public("word_bpe_49k.json"))
+    want = sorted((d is not None, d or 0, len(enc.ids(secrets.redact(t) or "")) + 1) for d, t in rows)
+    got = corpus_pipeline.run(spark, folder).groupBy("doc_id", "sequence_id", "doc_tokens").agg(F.sum("length").alias("n")).groupBy("doc_id", "doc_tokens").agg(F.sum("n").alias("n")).collect()
+    flat = sorted((r.doc_id is not None, r.doc_id or 0, r.doc_tokens) for r in got for _ in range(r.n // r.doc_tokens))
+    assert flat == want
