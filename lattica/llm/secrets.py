@@ -31,9 +31,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_IDENTIFIER = re.compile(r"""\b(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?key_?id)\b["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,128})""", re.I | re.A)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,256}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,512}|\b(?:host|endpoint|server)["']?\x20?[:=]\x20?["']?([A-Za-z0-9.-]{3,255}(?::[0-9]{2,5})?)""", re.I | re.A)
+_IDENTIFIER = re.compile(r"""\b(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?key_?id)\b["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
+# '=' may stand before the run (KEY=VALUE); behind it only as padding, so a key's name is no match
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"""\b[a-z](?:[a-z0-9+.-]{1,15}|[a-z0-9]{16,}+)://[^\s"'<>]{3,}|\b(?:host|endpoint|server)["']?\x20?[:=]\x20?["']?([A-Za-z0-9.-]{3,}(?::[0-9]{2,})?)""", re.I | re.A)
 _SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 _NEEDS = {"opaque": ("identifier", "access"), "identifier": ("assign", "hex", "opaque"), "endpoint": ("assign", "hex", "opaque")}
 
