@@ -89,6 +89,23 @@ def test_skip_chain_makes_mentions_agree():
     assert model.added("only 12 items and 345 more", []) == []
 
 
+def test_fifty_mentions_agree():
+    """One finding and fifty partial mentions that only the links speak for: exact marginals, and a span for each."""
+    unary, skip = np.zeros((pii.FEATURES, 5)), 8 * np.eye(5)
+    unary[-4:, 1:] = 8 * np.eye(4)
+    model = pii.SkipChain(unary, np.zeros((5, 5)), skip)
+    text = "phone +1 (987) 555-4321 now. later " + ("word " * 30 + "at 555-4321 again ") * 50
+    added = model.added(text, pii.base_spans(text))
+    assert [(k, text[s:e]) for s, k, e in added] == [("phone", "555-4321")] * 50
+    f = np.zeros((51, pii.FEATURES))
+    f[0, -1] = 1
+    p, want = np.exp(f[0] @ unary), []
+    for _ in f:
+        want.append(p / p.sum())
+        p = np.exp(skip) @ want[-1]
+    assert np.abs(model.marginals(f, [], [(i, i + 1) for i in range(50)]) - want).max() < 0.01
+
+
 def test_tiles_equal_brute_force():
     random.seed(2)
     for _ in range(60):
