@@ -2,8 +2,8 @@
 
 Variables are the tokens that can carry personal data (those with a digit or an @); all others are O by definition.
 A chain potential joins neighbours at most two tokens apart. A skip potential joins a token to the previous one in the
-document that repeats it or is similar (the same last seven digits, or the same mailbox), so a group of repeats is a
-chain of links and never all pairs. Loopy message passing then makes the labels of a document's mentions agree.
+document that repeats it exactly, whatever its length, and to the previous similar one (the same last seven digits, or
+the same mailbox), so a group of repeats is a chain of links and never all pairs. Loopy message passing then makes the labels of a document's mentions agree.
 Weights are trained here, by pseudo-likelihood on a bounded sample of documents in which the base detectors give the
 labels and half of the tokens have the base detectors' features hidden, so that shape, context and links must explain
 them. Findings are also mentioned again in part, unseen by the base detectors, for the links to be learned.
@@ -121,13 +121,15 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
     chain = [(i - 1, i) for i in range(1, len(spans)) if text.count(" ", spans[i - 1][1], spans[i][0]) <= 2 and spans[i][0] - spans[i - 1][1] <= 40]
     last: dict[tuple[str, str], int] = {}
     skip = []
-    for i, k in enumerate(keys):
-        if k is None or (k[0] == "#" and len(k[1]) < 7):
-            continue
-        k = (k[0], k[1][-7:] if k[0] == "#" else k[1])
-        if k in last:
-            skip.append((last[k], i))
-        last[k] = i
+    for i, ((s, e), k) in enumerate(zip(spans, keys)):
+        # repeated exactly, of any length; similar, at seven digits or more
+        same, like = ("=", text[s:e]), k and (k[0], k[1][-7:] if k[0] == "#" else k[1])
+        if like and like[0] == "#" and len(like[1]) < 7:
+            like = None
+        skip += [(j, i) for j in sorted({last[x] for x in (same, like) if x in last})]
+        last[same] = i
+        if like:
+            last[like] = i
     return spans, np.array(feats, float).reshape(len(spans), FEATURES), np.array(labels, int), chain, skip
 
 

@@ -106,6 +106,16 @@ def test_fifty_mentions_agree():
     assert np.abs(model.marginals(f, [], [(i, i + 1) for i in range(50)]) - want).max() < 0.01
 
 
+def test_short_tokens_link_to_their_repeats():
+    text = "card 4242 and 555-4321, room 12. " + "word " * 60 + "then 4242 or 9875554321 or 555-4321 in 12"
+    spans, *_, skip = pii.nodes(text, [])
+    assert [(text[slice(*spans[a])], text[slice(*spans[b])]) for a, b in skip] == [("4242", "4242"), ("555-4321", "9875554321"), ("555-4321", "555-4321"), ("9875554321", "555-4321"), ("12", "12")]
+    unary = np.zeros((pii.FEATURES, 5))
+    unary[0, 0], unary[1 + pii._SHAPES + 2, 3] = 1, 9  # only the cue speaks for a card
+    model = pii.SkipChain(unary, np.zeros((5, 5)), 6 * np.eye(5))
+    assert [(k, text[s:e]) for s, k, e in model.added(text, [])] == [("card", "4242")] * 2
+
+
 def test_tiles_equal_brute_force():
     random.seed(2)
     for _ in range(60):
