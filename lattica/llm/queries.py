@@ -24,7 +24,7 @@ def op2_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.with_next(_table(spark, sf_dir))
+    return simhash.with_near(simhash.with_next(_table(spark, sf_dir)), bits=128)
 
 
 def op4_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, pick, slices, strings, written
+from ..session import ship
+from . import ballhash
+from .common import U64, WordHashes, pack, partitions, pick, slices, strings, unpack, written
 
 _words: list[WordHashes] = []
 
@@ -60,29 +62,144 @@ def fingerprints(docs: DataFrame, lanes: int = 2) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def near_pairs(fps: DataFrame, radius: int = 3, extra: int = 2, bits: int = 64) -> DataFrame:
+class Tables:
+    """Block tables: a mask of the fingerprint's words for each choice of `extra` of radius + extra blocks."""
+
+    def __init__(self, radius: int, extra: int, bits: int):
+        blocks = radius + extra
+        if bits % 64 or extra < 1 or not 0 <= radius or blocks > bits // 4:
+            raise ValueError("the radius is too large for block tables")
+        self.radius, self.words = radius, bits // 64
+        cuts = [bits * i // blocks for i in range(blocks + 1)]
+        masks = [sum((1 << (bits - cuts[i])) - (1 << (bits - cuts[i + 1])) for i in c) for c in combinations(range(blocks), extra)]
+        self.masks = np.frombuffer(b"".join(m.to_bytes(bits // 8) for m in masks), ">u8").astype(U64).reshape(len(masks), -1)
+
+    def verify(self, table: int, w: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the pairs w[i], v[j]: those within the radius that meet in no earlier table, and their distances."""
+        d = w[i] ^ v[j]
+        k = np.bitwise_count(d).sum(1, dtype=np.int64)
+        near = np.flatnonzero(k <= self.radius)
+        near = near[~((d[near, None] & self.masks[None, :table]) == 0).all(2).any(1)]
+        return i[near], j[near], k[near]
+
+
+_FOUND = "fp long, near long, root long, work binary"
+
+
+def _report(found: list, ids: np.ndarray, n: np.ndarray, ids2: np.ndarray, n2: np.ndarray, pairs: bool) -> list[pa.RecordBatch]:
+    if not sum(len(f[0]) for f in found):
+        return []
+    i, j, k = (np.concatenate(z) for z in zip(*found))
+    if not pairs:
+        return [ballhash._links(ids[i], ids2[j], n[i], n2[j])]
+    return [pa.RecordBatch.from_arrays([pa.array(ids[i].astype(np.int64)), pa.array(k), pa.array(ids2[j].astype(np.int64)), pa.nulls(len(i), pa.binary())], schema=ballhash._FOUND)]
+
+
+def _search(groups: DataFrame, tables: Tables, hot: int, pairs: bool) -> DataFrame:
+    """groups (id long, n long, fingerprint; distinct), written -> (fp, near, root): of each key the links' counts and
+    roots by id or, with `pairs`, (id, distance, id). A key with more than `hot` fingerprints is cut into blocks, and
+    each pair of blocks is a row of work of its own, so no key is left to one task."""
+    spark, words = groups.sparkSession, tables.words
+    slots = max(1, partitions(spark) // 4)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = (b.column(c).to_numpy(zero_copy_only=False).astype(U64) for c in ("id", "n"))
+            w = np.frombuffer(bytes.fromhex("".join(b.column("fingerprint").to_pylist())), ">u8").astype(U64).reshape(-1, words)
+            for c, mask in enumerate(tables.masks):
+                slot = np.zeros(len(w), U64)
+                for x in (w & mask).T:
+                    slot = (slot ^ x) * U64(0x9E3779B97F4A7C15)
+                    slot ^= slot >> U64(32)
+                slot %= U64(slots)
+                order = np.argsort(slot, kind="stable")
+                cuts = np.searchsorted(slot[order], np.arange(slots + 1, dtype=U64))
+                rows = [(s, c, *[pack(x[order[lo:hi]].ravel()) for x in (ids, n, w)]) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["slot", "choice", "ids", "ns", "fps"])
+
+    def collide(key: tuple, table: pa.Table) -> pa.Table:
+        c = key[1].as_py()
+        ids, n, w = (np.concatenate([unpack(x.as_py()) for x in table[f]]) for f in ("ids", "ns", "fps"))
+        w = w.reshape(-1, words)
+        m = w & tables.masks[c]
+        order = np.lexsort(m.T)
+        ids, n, w, m = ids[order], n[order], w[order], m[order]
+        starts = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]).any(1)])
+        sizes = np.diff(np.r_[starts, len(m)])
+        run, found, work = np.repeat(np.arange(len(starts)), sizes), [], []
+        for s, size in zip(starts[sizes > hot], sizes[sizes > hot]):
+            cuts = [slice(x, min(x + hot, s + size)) for x in range(s, s + size, hot)]
+            for i, x in enumerate(cuts):
+                for y in cuts[i:]:
+                    work.append(np.concatenate([np.array([c, x.stop - x.start, x == y], U64), *[z[k].ravel() for k in (x, y) for z in (ids, n, w)]]).tobytes())
+        at, d = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= hot), sizes)), 1
+        while len(at := at[at + d < len(m)]) and len(at := at[run[at + d] == run[at]]):
+            found.append(tables.verify(c, w, w, at, at + d))
+            d += 1
+        out = _report(found, ids, n, ids, n, pairs)
+        if work:
+            none = pa.nulls(len(work), pa.int64())
+            out.append(pa.RecordBatch.from_arrays([none, none, none, pa.array(work, pa.binary())], schema=ballhash._FOUND))
+        return pa.Table.from_batches(out, ballhash._FOUND)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("work"):
+                a = np.frombuffer(raw.as_py(), U64)
+                c, size, same = map(int, a[:3])
+                x, y = a[3 : 3 + size * (2 + words)], a[3 + size * (2 + words) :]
+                (ids, n, w), (ids2, n2, v) = ((z[:k], z[k : 2 * k], z[2 * k :].reshape(-1, words)) for z in (x, y) for k in (len(z) // (2 + words),))
+                found = []
+                for i in range(size):
+                    j = np.arange(i + 1 if same else 0, len(v))
+                    found.append(tables.verify(c, w, v, np.full(len(j), i), j))
+                yield from _report(found, ids, n, ids2, n2, pairs)
+
+    emitted = groups.select("id", "n", "fingerprint").mapInArrow(emit, "slot int, choice int, ids binary, ns binary, fps binary")
+    found = written(emitted.groupBy("slot", "choice").applyInArrow(collide, _FOUND), "near")
+    rest = found.where("work is not null").select("work").repartition(partitions(spark)).mapInArrow(blocks, _FOUND)
+    return found.where("work is null").drop("work").unionByName(rest.drop("work"))
+
+
+def _tables(groups: DataFrame, radius: int, extra: int, bits: int | None) -> Tables:
+    """bits: by default, of the fingerprints' length."""
+    if bits is None:
+        row = groups.select(F.length("fingerprint").alias("n")).first()
+        bits = 4 * row.n if row else 64
+    return Tables(radius, extra, bits)
+
+
+def near_pairs(fps: DataFrame, radius: int = 3, extra: int = 2, bits: int | None = None, hot: int = 20_000) -> DataFrame:
     """fps (fingerprint hex) -> (a, b, distance), a < b: the distinct fingerprints within the radius of each other.
 
     Equal fingerprints are one, so copies make no pairs. A pair is emitted only by the first table in which it meets.
     """
-    blocks = radius + extra
-    if blocks > bits // 4:
-        raise ValueError("the radius is too large for block tables")
-    cuts = [bits * i // blocks for i in range(blocks + 1)]
+    ship(fps.sparkSession)
     one = fps.select("fingerprint").where("fingerprint is not null").distinct()
-    binary = F.lpad(F.conv(F.substring("fingerprint", 1, 16), 16, 2), 64, "0")
-    for i in range(1, bits // 64):
-        binary = F.concat(binary, F.lpad(F.conv(F.substring("fingerprint", 1 + 16 * i, 16), 16, 2), 64, "0"))
-    one = one.withColumn("bits", binary)
-    parts = [F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(blocks)]
-    tables = F.array(*[F.concat(F.lit(f"{k}:"), *[parts[i] for i in c]) for k, c in enumerate(combinations(range(blocks), extra))])
-    rows = one.withColumn("tables", tables).withColumn("key", F.explode("tables"))
-    a = rows.select("key", F.col("fingerprint").alias("a"), F.col("tables").alias("ta"))
-    b = rows.select("key", F.col("fingerprint").alias("b"), F.col("tables").alias("tb"))
-    lane = lambda s, i: F.conv(F.substring(s, 1 + 16 * i, 16), 16, -10).cast("long")
-    distance = sum((F.bit_count(lane("a", i).bitwiseXOR(lane("b", i))) for i in range(bits // 64)), F.lit(0))
-    both = a.join(b, "key").where("a < b and key = array_sort(array_intersect(ta, tb), (x, y) -> int(split(x, ':')[0]) - int(split(y, ':')[0]))[0]")
-    return both.withColumn("distance", distance).where(F.col("distance") <= radius).select("a", "b", "distance")
+    groups = written(one.select(F.monotonically_increasing_id().alias("id"), F.lit(1).cast("long").alias("n"), "fingerprint"), "groups")
+    found = _search(groups, _tables(groups, radius, extra, bits), hot, True)
+    x, y = (groups.select(F.col("id").alias(k), F.col("fingerprint").alias(f)) for k, f in (("fp", "x"), ("root", "y")))
+    return found.join(x, "fp").join(y, "root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("near").cast("int").alias("distance"))
+
+
+def with_near(rows: DataFrame, radius: int = 3, extra: int = 2, bits: int | None = None, hot: int = 20_000) -> DataFrame:
+    """rows (doc_id, fingerprint, ...) -> the rows with n_near and class_id.
+
+    n_near: other rows whose fingerprint differs in at most `radius` bits. class_id: the least doc_id reachable by
+    such links, itself included; null only if all are null. Fingerprints, one for each row, are not null.
+    """
+    ship(rows.sparkSession)
+    groups = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    found = _search(groups, _tables(groups, radius, extra, bits), hot, False)
+    found = written(found.groupBy("fp", "root").agg(F.sum("near").alias("near")), "links")
+    near = found.groupBy("fp").agg(F.sum("near").alias("near")).withColumnRenamed("fp", "id")
+    roots = ballhash.components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    g = groups.join(near, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = g.groupBy("root").agg(F.min("least").alias("class_id"))
+    g = g.join(least, "root").select("fingerprint", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_near"), "class_id")
+    return rows.join(g, "fingerprint").select(*rows.columns, "n_near", "class_id")
 
 
 _SCHEMA = "part int, place int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, head string, text string"

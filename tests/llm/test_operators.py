@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import ballhash, cotrain, frames, packing, pii, secrets, shuffle, simhash, tiling
+from lattica.llm import queries as Q
 
 from .test_contract import brute_tiles
 
@@ -42,6 +43,29 @@ def test_near_pairs_by_block_tables(spark):
     assert got == {(a, b, d(a, b)) for a in u for b in u if a < b and d(a, b) <= 3}
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_near_pairs_of_whole_fingerprints(spark, hot):
+    """128 bits by the fingerprints' length; many share their leading 52 bits."""
+    random.seed(6)
+    base = [random.getrandbits(128) for _ in range(12)] + [(7 << 100) + random.getrandbits(64) for _ in range(12)]
+    fps = base + [b ^ sum(1 << i for i in random.sample(range(128), k)) for b in base for k in (1, 2, 3, 4)] + [b ^ 1 << 127 ^ 1 << i for b in base[:3] for i in range(9)]
+    got = [(r.a, r.b, r.distance) for r in simhash.near_pairs(spark.createDataFrame([(f"{x:032x}",) for x in fps], "fingerprint string"), hot=hot).collect()]
+    u = sorted({f"{x:032x}" for x in fps})
+    d = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    assert sorted(got) == [(a, b, d(a, b)) for a in u for b in u if a < b and d(a, b) <= 3]
+
+
+def test_op3_searches_all_documents(spark, folder):
+    rows = Q.op3_simhash(spark, folder).collect()
+    prints = [int(r.fingerprint, 16) for r in rows]
+    near = [[j for j, y in enumerate(prints) if (x ^ y).bit_count() <= 3] for x in prints]
+    comp, old = list(range(len(rows))), None
+    while comp != old:
+        old, comp = comp, [min(comp[j] for j in n) for n in near]
+    least = {c: min((r.doc_id for r, k in zip(rows, comp) if k == c and r.doc_id is not None), default=None) for c in comp}
+    assert [(r.n_near, r.class_id) for r in rows] == [(len(n) - 1, least[c]) for n, c in zip(near, comp)]
+
+
 @pytest.mark.parametrize("blocks,keep,radius,hot", [(4, 2, 6, 20_000), (4, 2, 6, 3), (1, 1, 2, 20_000), (3, 2, 3, 5)])
 def test_ball_hashing_finds_all_links(spark, blocks, keep, radius, hot):
     random.seed(5)
