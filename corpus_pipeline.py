@@ -12,6 +12,9 @@ from lattica.llm.common import written
 from lattica.llm.queries import _pack
 from lattica.session import ship
 
+#: The name of a row's identity within near_duplicates.
+ROW = "_near_duplicates_row"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects (poor or toxic) go. Null text is scored as empty."""
@@ -22,10 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the least doc_id. Rows without a doc_id stay."""
-    found = ballhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row of each component of near duplicates stays: that with the least (doc_id, hash of text), nulls last.
+
+    Decided by rows: a doc_id may stand for several texts, and rows may be equal or without a doc_id.
+    """
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = ballhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
+    order = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), ROW).alias("rank"))
+    first = found.join(order, ROW).groupBy("component").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

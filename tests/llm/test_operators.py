@@ -178,6 +178,14 @@ def test_classifier_on_held_out_labels(spark):
     assert all(a >= 0.85 for a in model.accuracy.values())
 
 
+def test_one_row_of_each_component_stays(spark):
+    """A doc_id of two different texts, repeated rows, and copies without a doc_id."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(5, a), (5, b), (3, b + " x"), (7, c), (7, c), (None, d), (None, d)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, d), (3, b + " x"), (5, a), (7, c)]
+
+
 @pytest.mark.parametrize("which", ["odd", "empty", "sf"])
 def test_pipeline_equals_brute_force(spark, tables, which):
     """Each stage on its predecessor's rows, by loops; the classifier's own scores are taken as given."""
