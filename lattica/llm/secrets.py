@@ -1,10 +1,13 @@
 """Secret scan with multipart credential linking.
 
 Base findings stand on their own: assignments, access-key identifiers, long hex runs. Beside them there are parts that
-mean little alone: account identifiers, opaque strings, endpoints. Within a scope (text between blank lines) each part
-covers the interval of its span widened by `reach` code points; a weak part is reported only where its interval meets
-that of a complementary part: an opaque string needs an identifier, an identifier or endpoint needs a secret. The
-interval join is a sorted sweep inside the task that scans the text, so it needs no shuffle and no pairs are listed.
+mean little alone: identifiers (named accounts, mailboxes), opaque strings, endpoints (URLs, named hosts, addresses).
+Within a scope (text between blank lines) each part covers the interval of its span widened by `reach` code points; a
+weak part is reported only where its interval meets that of a complementary part: an opaque string needs an access
+identifier, an identifier or endpoint needs a secret. Base findings take part on either side: an access key identifies,
+an assignment or hex run is a secret. The interval join is a sorted sweep inside the task that scans the text, so it
+needs no shuffle and no pairs are listed. What belongs together is returned as credentials: each secret with the
+nearest identifier and the nearest endpoint that its interval meets.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ _IDENTIFIER = re.compile(r"""\b(?:user(?:name|_?id)?|login|account(?:_?id)?|clie
 # '=' may stand before the run (KEY=VALUE); behind it only as padding, so a key's name is no match
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"""\b[a-z](?:[a-z0-9+.-]{1,15}|[a-z0-9]{16,}+)://[^\s"'<>]{3,}|\b(?:host|endpoint|server)["']?\x20?[:=]\x20?["']?([A-Za-z0-9.-]{3,}(?::[0-9]{2,})?)""", re.I | re.A)
+_MAILBOX = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_ADDRESS = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.]*[0-9])")
 _SCOPE = re.compile(r"\n[\x20\t\r]*\n")
-_NEEDS = {"opaque": ("identifier", "access"), "identifier": ("assign", "hex", "opaque"), "endpoint": ("assign", "hex", "opaque")}
 
 Span = tuple[int, str, int]
 
@@ -62,68 +66,117 @@ def _weak(text: str) -> list[Span]:
     if "=" in text or ":" in text:
         out += [(m.start(1), "identifier", m.end(1)) for m in _IDENTIFIER.finditer(text)]
         out += [(m.start(m.lastindex or 0), "endpoint", m.end(m.lastindex or 0)) for m in _ENDPOINT.finditer(text)]
+    if "@" in text:
+        out += [(m.start(), "identifier", m.end()) for m in _MAILBOX.finditer(text)]
+    out += [(m.start(), "endpoint", m.end()) for m in _ADDRESS.finditer(text)]
     return out + [(m.start(), "opaque", m.end()) for m in _OPAQUE.finditer(text) if _is_opaque(m.group())]
 
 
-def link(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> list[Span]:
-    """The weak parts whose widened interval meets a complementary part's in the same scope.
+def unions(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans made one, ascending."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
-    An opaque part that an identifier confirms counts as a secret for identifiers and endpoints. Parts inside a base
-    span are left out. Spans are sorted once and found by bisection.
-    """
-    taken = sorted((s, e) for s, _, e in base)
-    starts = [s for s, _ in taken]
 
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(starts, e)
-        return i == 0 or taken[i - 1][1] <= s
+def _free(weak: list[Span], base: list[Span]) -> list[Span]:
+    """The weak parts that touch no base span; of parts of one kind that overlap only the first (of those that begin
+    together, the longest). What is an identifier isn't opaque as well."""
+    taken = unions([(s, e) for s, _, e in base])
+    out: list[Span] = []
+    for kind in ("identifier", "endpoint", "opaque"):
+        starts, at = [s for s, _ in taken], 0
+        for s, _, e in sorted((w for w in weak if w[1] == kind), key=lambda w: (w[0], -w[2])):
+            i = bisect_left(starts, e)
+            if s >= at and (i == 0 or taken[i - 1][1] <= s):
+                out.append((s, kind, e))
+                at = e
+        if kind == "endpoint":
+            taken = unions(taken + [(s, e) for s, k, e in out if k == "identifier"])
+    return out
+
+
+Part = tuple[int, int, int]
 
-    weak = [w for w in weak if free(w[0], w[2])]
-    if not weak:
-        return []
-    ends = [m.start() for m in _SCOPE.finditer(text)]
-    by: dict[str, list[tuple[int, int, int]]] = {}
-    for s, kind, e in sorted(base + weak):
-        by.setdefault(kind, []).append((bisect_right(ends, s), s, e))
 
-    def meets(span: Span) -> bool:
-        scope, (s, kind, e) = bisect_right(ends, span[0]), span
-        for other in _NEEDS[kind]:
-            parts = by.get(other, [])
-            i = bisect_left(parts, (scope, s, e))
-            if any(0 <= j < len(parts) and parts[j][0] == scope and parts[j][1] - e <= 2 * reach and s - parts[j][2] <= 2 * reach for j in (i - 1, i)):
-                return True
-        return False
+def _nearest(parts: list[Part], scope: int, s: int, e: int, reach: int) -> Part | None:
+    """Of disjoint ascending parts (scope, start, end), the nearest whose widened interval meets that of (s, e)."""
+    i, best = bisect_left(parts, (scope, s, e)), None
+    for j in (i - 1, i):
+        if 0 <= j < len(parts) and parts[j][0] == scope:
+            gap = max(parts[j][1] - e, s - parts[j][2], 0)
+            if gap <= 2 * reach and (best is None or gap < best[0]):
+                best = (gap, parts[j])
+    return best and best[1]
 
-    by["opaque"] = [(bisect_right(ends, w[0]), w[0], w[2]) for w in sorted(weak) if w[1] == "opaque" and meets(w)]
-    kept = {(s, e) for _, s, e in by["opaque"]}
-    return [w for w in weak if ((w[0], w[2]) in kept if w[1] == "opaque" else meets(w))]
 
+Credential = tuple[Span, Span | None, Span | None]
 
-def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span]]:
-    """(base spans, linked weak spans) of a whole text, each by start and then kind; code points, end exclusive.
+
+def link(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> tuple[list[Span], list[Credential]]:
+    """(the weak parts whose widened interval meets a complementary part's in the same scope; the credentials).
+
+    An opaque part that an identifier confirms counts as a secret for identifiers and endpoints. Parts that touch a
+    base span are left out. A credential is (secret, nearest identifier, nearest endpoint), either of which may be
+    None but not both; overlapping base secrets are one, from the first's start to the last's end and named by the
+    first. Parts are sorted once and found by bisection.
+    """
+    weak = _free(weak, base)
+    ends = [m.start() for m in _SCOPE.finditer(text)]
+    at = lambda s: bisect_right(ends, s)
+
+    def parts(kinds: tuple[str, ...], given: list[Span]) -> list[Part]:
+        return [(at(s), s, e) for s, e in unions([(s, e) for s, k, e in given if k in kinds])]
+
+    identifiers = parts(("identifier", "access"), base + weak)
+    opaque = [w for w in weak if w[1] == "opaque" and _nearest(identifiers, at(w[0]), w[0], w[2], reach)]
+    known = [x for x in base if x[1] != "access"] + opaque
+    secrets, endpoints = parts(("assign", "hex", "opaque"), known), parts(("endpoint",), weak)
+    sure = {(s, e) for s, _, e in opaque}
+    linked = [w for w in weak if ((w[0], w[2]) in sure if w[1] == "opaque" else _nearest(secrets, at(w[0]), w[0], w[2], reach))]
+    first: dict[int, str] = {}
+    for s, k, _ in sorted(known, key=lambda x: (x[0], KINDS.index(x[1]))):
+        first.setdefault(s, k)
+    names = {(s, e): k for s, k, e in base + weak if k != "opaque"}
+    found: list[Credential] = []
+    for scope, s, e in secrets:
+        who, where = _nearest(identifiers, scope, s, e, reach), _nearest(endpoints, scope, s, e, reach)
+        if who or where:
+            spell_part = lambda p, k: p and (p[1], names.get((p[1], p[2]), k), p[2])
+            found.append(((s, first[s], e), spell_part(who, "identifier"), spell_part(where, "endpoint")))
+    return linked, found
+
+
+def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span], list[Credential]]:
+    """(base spans, linked weak spans, credentials) of a whole text, spans by start and then kind; code points, end
+    exclusive.
 
     Null and empty texts have none.
     """
     if not text:
-        return [], []
+        return [], [], []
     base = _base(text)
-    # an opaque part needs an identifier, the others a secret: texts with neither '=' nor ':' nor a key have no links
-    weak = _weak(text) if base or "=" in text or ":" in text else []
-    rank = KINDS.index
-    order = lambda x: (x[0], rank(x[1]), x[2])
-    return sorted(base, key=order), sorted(link(text, base, weak, reach), key=order)
+    # an opaque part needs an identifier, the others a secret: without '=', ':', '@' or a key there are no links
+    weak = _weak(text) if base or "=" in text or ":" in text or "@" in text else []
+    order = lambda x: (x[0], KINDS.index(x[1]), x[2])
+    linked, found = link(text, base, weak, reach) if base or weak else ([], [])
+    return sorted(base, key=order), sorted(linked, key=order), found
 
 
 def spell(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-_OUT = "doc_id {}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, linked array<struct<kind:string,start:int,end:int,value:string>>"
+_OUT = "doc_id {}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, n_credentials long, credentials string, linked array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def scan_documents(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """docs (doc_id, text) -> per row the counts, digest and spans of its findings, with the linked parts' text.
+    """docs (doc_id, text) -> per row the counts, digest and spans of its findings, its credentials (the parts of each
+    joined by +, separated by commas), and the linked weak parts with their text.
 
     Null text: as empty. Rows keep their doc_id whatever it is (null, repeated); other columns are ignored. Empty
     table: no rows. Map only.
@@ -133,28 +186,27 @@ def scan_documents(docs: DataFrame, reach: int = REACH) -> DataFrame:
         for b in slices(batches):
             rows = []
             for t in strings(b.column("text")):
-                base, linked = scan(t, reach)
+                base, linked, creds = scan(t, reach)
                 n = Counter(k for _, k, _ in base)
                 both = sorted(base + linked, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
-                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(spell(base).encode()).hexdigest(), spell(both), len(linked), [{"kind": k, "start": s, "end": e, "value": t[s:e]} for s, k, e in linked]))
+                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(spell(base).encode()).hexdigest(), spell(both), len(linked), len(creds), ",".join("+".join(f"{p[1]}:{p[0]}:{p[2]}" for p in c if p) for c in creds), [{"kind": k, "start": s, "end": e, "value": t[s:e]} for s, k, e in linked]))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-            types = [*[pa.int64()] * 3, pa.string(), pa.string(), pa.int64(), kind]
+            types = [*[pa.int64()] * 3, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), kind]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked", "n_credentials", "credentials", "linked"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, _OUT.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def redact(text: str | None, mark: str = "<secret>", reach: int = REACH) -> str | None:
     """The text with each union of overlapping spans replaced by `mark`; null stays null."""
-    base, linked = scan(text, reach)
+    base, linked, _ = scan(text, reach)
     if not base and not linked:
         return text
     out, at = [], 0
-    for s, e in sorted((s, e) for s, _, e in base + linked):
-        if s >= at:
-            out += [text[at:s], mark]
-        at = max(at, e)
+    for s, e in unions([(s, e) for s, _, e in base + linked]):
+        out += [text[at:s], mark]
+        at = e
     return "".join(out) + text[at:]
 
 
