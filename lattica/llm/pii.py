@@ -1,12 +1,14 @@
 """Personal data by a skip-chain conditional random field.
 
 Variables are the tokens that can carry personal data (those with a digit or an @); all others are O by definition.
-A chain potential joins neighbours at most two tokens apart. A skip potential joins a token to the previous one in the
+A chain potential joins neighbours with no word between them. A skip potential joins a token to the previous one in the
 document that repeats it exactly, whatever its length, and to the previous similar one (the same last seven digits, or
 the same mailbox), so a group of repeats is a chain of links and never all pairs. Loopy message passing then makes the labels of a document's mentions agree.
-Weights are trained here, by pseudo-likelihood on a bounded sample of documents in which the base detectors give the
-labels and half of the tokens have the base detectors' features hidden, so that shape, context and links must explain
-them. Findings are also mentioned again in part, unseen by the base detectors, for the links to be learned.
+What the base detectors found is given; the field infers the labels of all other tokens from shape, context and links.
+Weights are trained here, by pseudo-likelihood on all documents, with the base detectors' findings as labels. For the
+links to be learned, findings are also mentioned again in part, unseen by the base detectors, and so are mailboxes and
+numbers of the same shape that were never found, which are no personal data. A token's features and its
+neighbours' labels take few different values, so only their counts come to the driver, not texts.
 """
 
 from __future__ import annotations
@@ -25,9 +27,6 @@ from .common import pick, slices, strings
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
-#: At most so many documents are read to train on.
-SAMPLE = 4000
-
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]+)")
@@ -38,6 +37,8 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _CUES = ({"mail", "email", "e-mail", "contact", "write"}, {"ip", "host", "address", "server"}, {"card", "visa", "mastercard", "amex", "cc"}, {"phone", "tel", "call", "fax", "mobile", "cell"})
 
 Span = tuple[int, str, int]
+#: The potential of a label that is given.
+SURE = 20.0
 
 
 def luhn(digits: str) -> bool:
@@ -79,10 +80,27 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
-# ---- the field -----------------------------------------------------------------------------------------------------
+def _rejected(text: str) -> list[tuple[int, int]]:
+    """Where a base pattern matched too many or too few digits, so that its silence says nothing."""
+    digits = lambda m: sum("0" <= c <= "9" for c in m.group())
+    out = [m.span() for m in _PHONE.finditer(text) if not 9 <= digits(m) <= 15] if "+" in text else []
+    return out + [m.span() for m in _CARD.finditer(text) if digits(m) > 19]
+
+
+# the field
+
+_SHAPES = 13
+FEATURES = 1 + _SHAPES + len(_CUES)
 
-_SHAPES = 11
-FEATURES = 1 + _SHAPES + len(KINDS) + len(KINDS)
+
+def _before(text: str, at: int) -> list[str]:
+    """The last two words before a place, whole."""
+    n = 64
+    while True:
+        words = text[max(0, at - n) : at].split()
+        if len(words) > 2 or n >= at:
+            return words[-2:]
+        n *= 8
 
 
 def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
@@ -103,22 +121,19 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
         label = LABELS.index(base[bi][1]) if bi < len(base) and base[bi][0] < e else 0
         digits = "".join(c for c in tok if "0" <= c <= "9")
         n = len(digits)
-        before = [w.strip(".,:;()").lower() for w in text[max(0, s - 40) : s].split()[-2:]]
-        shape = ["@" in tok, n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 10, n > 10, tok.count(".") == 3, "+" in tok, "-" in tok, tok.isdigit(), any(c.isalpha() for c in tok)]
+        before = [w.strip(".,:;()").lower() for w in _before(text, s)]
+        summed = 12 <= n <= 19 and luhn(digits)
+        shape = ["@" in tok, n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 10, n > 10, tok.count(".") == 3, "+" in tok, "-" in tok, tok.isdigit(), any(c.isalpha() for c in tok), summed, n >= 12 and not summed]
         cue = [any(w in c for w in before) for c in _CUES]
+        # what makes two mentions similar: the mailbox, or the last seven digits of a number and of those just before
+        run = digits
+        if "@" not in tok and spans and keys[-1] and keys[-1][0] == "#" and text[spans[-1][1] : s].strip(" ()-+") == "":
+            run = keys[-1][1] + digits
         spans.append((s, e))
-        feats.append([1, *shape, *cue, *[label == k for k in range(1, len(LABELS))]])
+        feats.append([1, *shape, *cue])
         labels.append(label)
-        # what makes two mentions similar: the mailbox, or the last seven digits of a run of at least seven
-        run = digits
-        for (ps, pe), pk in zip(spans[-2:-4:-1], keys[-1:-3:-1]):
-            if len(run) < 7 and pe >= s - 2 and text[pe:s].strip(" ()-") == "" and pk is not None:
-                run = pk[1] + run
-                s = ps
-            else:
-                break
-        keys.append(("@", tok.partition("@")[0].lower()) if "@" in tok else ("#", run) if n else None)
-    chain = [(i - 1, i) for i in range(1, len(spans)) if text.count(" ", spans[i - 1][1], spans[i][0]) <= 2 and spans[i][0] - spans[i - 1][1] <= 40]
+        keys.append(("@", tok.partition("@")[0].lower()) if "@" in tok else ("#", run[-19:]) if n else None)
+    chain = [(i - 1, i) for i in range(1, len(spans)) if not text[spans[i - 1][1] : spans[i][0]].strip(" \t\r\n()-.,;:")]
     last: dict[tuple[str, str], int] = {}
     skip = []
     for i, ((s, e), k) in enumerate(zip(spans, keys)):
@@ -133,11 +148,12 @@ def nodes(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
     return spans, np.array(feats, float).reshape(len(spans), FEATURES), np.array(labels, int), chain, skip
 
 
-def _mentions(text: str) -> list[tuple[str, list[Span]]]:
+def _mentions(text: str) -> Iterator[tuple[str, list[Span]]]:
     """The text, and the text with each of its findings mentioned again in part, with these mentions' labels: what
-    the base detectors can't see and only the link explains."""
+    the base detectors can't see and only the link explains; and with strangers of the same shape, which are nothing."""
+    yield text, []
     base = base_spans(text)
-    again, given = text, []
+    again, given, strange = text, [], text
     for s, kind, e in base:
         part = text[s:e].rpartition(" ")[2]
         digits = "".join(c for c in text[s:e] if c.isdigit())
@@ -145,11 +161,38 @@ def _mentions(text: str) -> list[tuple[str, list[Span]]]:
             part = text[s:e].partition("@")[0] + "@"
         elif sum(c.isdigit() for c in part) != 7:
             part = digits[-7:]
-        if kind != "ip" and len(part) >= 7:
+        if kind == "email" or kind != "ip" and len(part) >= 7:
             again += " also "
             given.append((len(again), kind, len(again) + len(part)))
             again += part
-    return [(text, [])] + ([(again, given)] if given else [])
+            strange += " also " + (part[::-1].lstrip("@") + "x@" if kind == "email" else part.translate(_OTHER))
+    if given:
+        yield again, given
+        yield strange, []
+
+
+_OTHER = str.maketrans("0123456789", "3456789012")
+
+
+def examples(text: str) -> Iterator[tuple[bytes, int]]:
+    """(features, counts of labels at the other ends of chain and of skip links, as bytes; label) of each candidate
+    token of the text and of the text with its findings' further mentions; and once more with no neighbour's label
+    known, else "all are nothing" and "all are one phone" would explain a run equally well. Tokens of which the base
+    detectors took too much or too little to decide are left out."""
+    n = len(LABELS)
+    for t, given in _mentions(text):
+        spans, f, y, chain, skip = nodes(t, base_spans(t))
+        y = np.array([next((LABELS.index(k) for a, k, b in given if a < e and s < b), v) for (s, e), v in zip(spans, y)], int)
+        doubtful = _rejected(t)
+        open_ = np.array([not v and any(a < e and s < b for a, b in doubtful) for (s, e), v in zip(spans, y)], bool)
+        near = np.zeros((len(y), 2 * n))
+        for at, links in ((0, chain), (n, skip)):
+            for a, b in links:
+                near[a, at + y[b]] += not open_[b]
+                near[b, at + y[a]] += not open_[a]
+        for seen in (near, 0 * near):
+            for row, label in zip(np.hstack([f, seen])[~open_].astype(np.uint8), y[~open_].tolist()):
+                yield row.tobytes(), label
 
 
 class SkipChain:
@@ -159,57 +202,45 @@ class SkipChain:
         self.weights, self.chain, self.skip = weights, chain, skip
 
     @classmethod
-    def train(cls, texts: list[str], steps: int = 300, l2: float = 1e-3, seed: int = 7) -> SkipChain:
-        """Pseudo-likelihood: each label given its token's features and its neighbours' labels."""
-        n, rng = len(LABELS), np.random.default_rng(seed)
-        xs, ys, cs, ss = [], [], [], []
-        for t, given in [x for t in texts for x in _mentions(t)]:
-            spans, f, y, chain, skip = nodes(t, base_spans(t))
-            if not len(y):
-                continue
-            y = np.array([next((LABELS.index(k) for a, k, b in given if a < e and s < b), v) for (s, e), v in zip(spans, y)])
-            hide = rng.random(len(y)) < 0.5
-            for mask in (np.zeros(len(y), bool), hide):
-                g = f.copy()
-                g[mask, -len(KINDS) :] = 0
-                near = []
-                for links in (chain, skip):
-                    c = np.zeros((len(y), n))
-                    for a, b in links:
-                        c[a, y[b]] += 1
-                        c[b, y[a]] += 1
-                    near.append(c)
-                xs.append(g)
-                ys.append(y)
-                cs.append(near[0])
-                ss.append(near[1])
-        size = FEATURES + 2 * n
-        w = np.zeros((size, n))
-        if xs:
-            x = np.hstack([np.vstack(xs), np.vstack(cs), np.vstack(ss)])
-            y = np.eye(n)[np.concatenate(ys)]
+    def train(cls, texts: list[str], **options) -> SkipChain:
+        return cls.fit(Counter(x for t in texts for x in examples(t)), **options)
+
+    @classmethod
+    def fit(cls, counts: dict[tuple[bytes, int], int], steps: int = 400, l2: float = 1e-5) -> SkipChain:
+        """Pseudo-likelihood: each label given its token's features and its neighbours' labels; counts of examples()."""
+        n = len(LABELS)
+        w = np.zeros((FEATURES + 2 * n, n))
+        if counts:
+            keys = sorted(counts)
+            x = np.frombuffer(b"".join(k for k, _ in keys), np.uint8).reshape(len(keys), -1).astype(float)
+            y = np.eye(n)[[label for _, label in keys]]
+            c = np.array([counts[k] for k in keys], float)[:, None]
+            c /= c.sum()
             m, v = np.zeros_like(w), np.zeros_like(w)
             for t in range(1, steps + 1):
                 p = x @ w
                 p = np.exp(p - p.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                g = x.T @ (p - y) / len(x) + l2 * w
+                g = x.T @ (c * (p - y)) + l2 * w
                 for k in (FEATURES, FEATURES + n):  # potentials are symmetric
                     g[k : k + n] = (g[k : k + n] + g[k : k + n].T) / 2
                 m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
                 w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         else:  # nothing to learn from: the base labels alone
-            w[FEATURES - len(KINDS) : FEATURES, 1:] = 8 * np.eye(len(KINDS))
             w[0, 0] = 4
         return cls(w[:FEATURES], w[FEATURES : FEATURES + n], w[FEATURES + n :])
 
-    def marginals(self, f: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
-        """Loopy sum-product with damping, until no message moves; a message each way on every link.
+    def marginals(self, f: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], given: np.ndarray | None = None) -> np.ndarray:
+        """given: known labels, 0 where there is none. Loopy sum-product with damping, until no message moves; a message each way on every link.
 
         Only messages whose inputs moved are computed again. The bound on the rounds follows the longest path of links
         (damped, a message takes some two rounds a link), so it only ends rounds that don't converge.
         """
         unary = f @ self.weights
+        if given is not None:
+            known = np.flatnonzero(given)
+            unary[known] = -SURE
+            unary[known, given[known]] = SURE
         if chain or skip:
             links = chain + skip
             a = np.array([x for x, _ in links] + [y for _, y in links])
@@ -244,27 +275,36 @@ class SkipChain:
     def added(self, text: str, base: list[Span], sure: float = 0.8) -> list[Span]:
         """The spans that the field adds to the base ones: runs of neighbouring tokens of one label, outside them."""
         spans, f, y, chain, skip = nodes(text, base)
-        if not len(y) or not skip and not f[:, 1 + _SHAPES : 1 + _SHAPES + len(KINDS)].any():
-            return []  # without a cue or a mention elsewhere, shape alone is no finding
-        linked = {i for link in skip for i in link}
-        p = self.marginals(f, chain, skip)
+        if not len(y):
+            return []
+        p = self.marginals(f, chain, skip, y)
         out: list[Span] = []
         for i, (s, e) in enumerate(spans):
             k = int(p[i].argmax())
-            if k == 0 or y[i] or p[i, k] < sure or not (i in linked or f[i, 1 + _SHAPES : 1 + _SHAPES + len(KINDS)].any()):
+            if k == 0 or y[i] or p[i, k] < sure:
                 continue
-            if out and out[-1][1] == LABELS[k] and text[out[-1][2] : s].strip(" ()-") == "":
+            if out and out[-1][1] == LABELS[k] and text[out[-1][2] : s].strip(" ()-\n") == "" and sum(map(str.isdigit, text[out[-1][0] : e])) <= 19:
                 out[-1] = (out[-1][0], LABELS[k], e)
             else:
                 out.append((s, LABELS[k], e))
         return out
 
 
-def train(docs: DataFrame, most: int = SAMPLE) -> SkipChain:
-    """Trained on the whole texts of at most `most` documents, chosen by the hash of doc_id."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text rlike '[0-9@]'").limit(most)
-    return SkipChain.train([r[0] for r in texts.select("text").collect()])
+def train(docs: DataFrame) -> SkipChain:
+    """Trained on all documents, by the base detectors' labels. What comes to the driver is a row for each different
+    example (features and neighbours' labels are small counts, so their number has a bound that no corpus moves)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in slices(batches):
+            for t in strings(b.column("text")):
+                if "@" in t or _DIGIT.search(t):
+                    found.update(examples(t))
+        rows = [(k, y, n) for (k, y), n in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.binary(), pa.int32(), pa.int64()))], names=["example", "label", "n"])
+
+    counted = pick(docs, "text").mapInArrow(run, "example binary, label int, n long").groupBy("example", "label").agg(F.sum("n").alias("n"))
+    return SkipChain.fit({(bytes(r.example), r.label): r.n for r in counted.collect()})
 
 
 def spell(spans: list[Span]) -> str:
