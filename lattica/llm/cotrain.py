@@ -1,17 +1,23 @@
-"""Quality classifier by co-training a view of the text with a view of the page's metadata.
-
-Two heads (quality, toxic), each with two logistic models: one sees words and surface measures of the text, the other
-language, source and length. In each round either model labels those unlabelled documents of which its calibrated
-probability is beyond `sure`, and the other model learns from them too. Last, the views are calibrated and combined by
-a logistic model of their scores on labelled documents that neither was trained on, so a view that knows nothing gets
-no weight. Models are trained on bounded samples (LABELLED, UNLABELLED documents); every document is scored, whole.
+"""Quality classifier by co-training a view of the text's content with a view of the page around it.
+
+Two heads (quality, toxic), each with two logistic models. The content view sees the words and runs of marks of the
+text; the page view sees language, source, length and layout (shares of capitals, digits and marks, repeated lines and
+words, lengths of words and sentences), but no words. Both are fit on a bounded sample of labelled documents
+(LABELLED). Then rounds follow: every document without a label in the sample is scored by both views, and where one
+view's calibrated probability is beyond `sure`, its verdict counts as a label for the other. Such pseudo-labels of the
+whole corpus are added up by tasks (how many documents of either class hold each feature); each view then learns again,
+with the log-odds of these counts as a further score beside its own weights. Last, the views are calibrated and
+combined on labelled documents that neither was fit on, so a view that knows nothing gets no weight. Every document is
+scored, whole.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,25 +25,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, strings
+from .common import pick, slices, strings, written
 
-LABELLED, UNLABELLED, WORDS, ROUNDS, SURE = 6000, 2000, 1500, 2, 0.97
+#: At most so many labelled documents are fit on.
+LABELLED = 6000
+ROUNDS, SURE = 2, 0.97
 HEADS = ("quality", "toxic")
-_WORD = re.compile(r"[^\W\d_]+")
+VIEWS = ("text", "page")
+_PARTS = re.compile(r"[^\W\d_]+|[^\w\s]+")
 _UPPER, _DIGITS, _MARKS = bytes(range(65, 91)), bytes(range(48, 58)), b"!?%&$*|#@=<>{}[]~^\\/_+"
 BINS, MEASURES = 8, 9
+META = 288
+PAGE = META + BINS * MEASURES
+#: Folds of twenty, by hash of doc_id: models are fit on the first, calibrated on the next, and measured on the rest.
+FIT, CALIBRATE = 12, 16
+
+
+def content(text: str | None) -> set[str]:
+    """Distinct lower-case words and runs of marks; null: none."""
+    return set(_PARTS.findall((text or "").lower()))
+
 
+def prefix(word: str) -> str | None:
+    """Longer words count by their first five letters as well."""
+    return word[:5] + "*" if len(word) > 5 else None
 
-def text_view(text: str | None) -> tuple[set[str], list[float]]:
-    """(distinct lower-case words and, marked with *, first five letters of longer ones; surface measures). Null: as
-    empty."""
+
+def layout(text: str | None) -> list[float]:
     text = text or ""
-    words = set(_WORD.findall(text.lower()))
-    words |= {w[:5] + "*" for w in words if len(w) > 5}
     raw, n = text.encode("utf-8", "surrogatepass"), max(1, len(text))
     lines, parts = text.split("\n"), raw.split()
     types = len(set(parts))
-    return words, [
+    return [
         np.log1p(len(parts)),
         (len(raw) - len(raw.translate(None, _UPPER))) / n,
         (len(raw) - len(raw.translate(None, _DIGITS))) / n,
@@ -50,32 +69,33 @@ def text_view(text: str | None) -> tuple[set[str], list[float]]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
     """Three indices below META: nulls are values of their own."""
     h = lambda x: zlib.crc32(("" if x is None else "=" + x).encode("utf-8", "surrogatepass"))
     n = 0 if n_chars is None or n_chars != n_chars else 1 + min(30, int(max(0, n_chars)).bit_length())
     return [h(lang) % 64, 64 + h(source) % 192, 256 + n]
 
 
-META = 288
-
-
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int, use: np.ndarray, l2: float = 5e-4, steps: int = 200) -> np.ndarray:
-    """Logistic regression on binary features (rows, cols), on the rows in `use`; the last weight is the bias."""
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    keep = use[rows] > 0
-    rows, cols, total = rows[keep], cols[keep], max(1.0, use.sum())
+def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int, use: np.ndarray, odds: np.ndarray, l2: float = 5e-4, steps: int = 250) -> np.ndarray:
+    """Logistic regression on binary features (rows, cols) and on their summed log-odds, for the rows in `use`: a weight
+    for each feature, and last the bias."""
+    s = np.bincount(rows, odds[cols], len(y))
+    mean, spread = s[use].mean(), max(s[use].std(), 1e-6)
+    s = (s - mean) / spread
+    w, m, v = np.zeros(size + 2), np.zeros(size + 2), np.zeros(size + 2)
+    keep = use[rows]
+    rows, cols, total = rows[keep], cols[keep], max(1, use.sum())
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], len(y)) + w[-1]
+        z = np.bincount(rows, w[cols], len(y)) + w[-2] * s + w[-1]
         g = (_sigmoid(z) - y) * use / total
-        d = np.r_[np.bincount(cols, g[rows], size) + l2 * w[:-1] / 10, g.sum()]
+        d = np.r_[np.bincount(cols, g[rows], size) + l2 * w[:-2], g @ s, g.sum()]
         m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
-        w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return w
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return np.r_[w[:-2] + w[-2] * odds / spread, w[-1] - w[-2] * mean / spread]
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -93,113 +113,244 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1] / s, float(w[-1])
 
 
+class _Known(dict):
+    """A word -> the indices of those of its features that the vocabulary holds; emptied when it holds `cap` words."""
+
+    def __init__(self, vocabulary: dict[str, int], cap: int = 400_000):
+        super().__init__()
+        self.vocabulary, self.cap = vocabulary, cap
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.cap:
+            self.clear()
+        out = tuple(i for w in (word, prefix(word)) if w is not None and (i := self.vocabulary.get(w)) is not None)
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
 class Model:
-    """Scores (lang, source, n_chars, text) for each head; made by train()."""
+    """Scores (text, lang, source, n_chars) for each head; made by train()."""
 
     def __init__(self):
+        self.vocabulary: dict[str, int] = {}
         self.edges = np.zeros((MEASURES, BINS - 1))
+        #: head -> view -> (weights with the bias last, calibration), and "both": the combination.
         self.heads: dict[str, dict] = {}
+        #: head -> share of right verdicts on labelled documents that were neither fit on nor calibrated on, if any.
         self.accuracy: dict[str, float] = {}
-
-    def _bins(self, measures: list[float]) -> list[int]:
-        return [BINS * i + int(np.searchsorted(self.edges[i], x)) for i, x in enumerate(measures)]
-
-    def scores(self, text: str | None, lang, source, n_chars) -> list[float]:
-        """[p_text, p_page, p] for each head; a head that no labels speak of: 1 for quality, 0 for toxic."""
-        words, measures = text_view(text)
-        at, meta, out = self._bins(measures), meta_view(lang, source, n_chars), []
+        #: A row for each round: head, view that learned, pseudo-labels of either class that it was given.
+        self.exchanged: list[tuple[int, str, str, int, int]] = []
+        self._known: _Known | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": None}
+
+    def features(self, text: str | None, lang, source, n_chars) -> tuple[list[int], list[int]]:
+        """Indices of the content view's and of the page view's features."""
+        if self._known is None:
+            self._known = _Known(self.vocabulary)
+        words = sorted(set(chain.from_iterable(map(self._known.__getitem__, content(text)))))
+        measures = layout(text)
+        return words, metadata(lang, source, n_chars) + [META + BINS * i + int(np.searchsorted(self.edges[i], x)) for i, x in enumerate(measures)]
+
+    def probabilities(self, rows: list[tuple[np.ndarray, np.ndarray]], n: int) -> dict[str, list[np.ndarray]]:
+        """rows: for each view (row, feature) -> per head [p_text, p_page, p]. A head that no labels speak of: 1 for
+        quality, 0 for toxic."""
+        out = {}
         for head in HEADS:
             m = self.heads.get(head)
             if m is None:
-                out += [float(head == "quality")] * 3
+                out[head] = [np.full(n, float(head == "quality"))] * 3
                 continue
-            zt = m["bias"] + sum(m["words"][w] for w in m["known"].intersection(words)) + sum(m["bins"][i] for i in at)
-            zm = m["meta"][-1] + sum(m["meta"][i] for i in meta)
-            (at_, bt), (am, bm), (both, b) = m["text_cal"], m["meta_cal"], m["both"]
-            out += [float(_sigmoid(at_[0] * zt + bt)), float(_sigmoid(am[0] * zm + bm)), float(_sigmoid(both[0] * zt + both[1] * zm + b))]
+            z = [np.bincount(r, m[v][0][c], n) + m[v][0][-1] for v, (r, c) in zip(VIEWS, rows)]
+            own = [_sigmoid(m[v][1][0][0] * x + m[v][1][1]) for v, x in zip(VIEWS, z)]
+            out[head] = [*own, _sigmoid(np.stack(z, 1) @ m["both"][0] + m["both"][1])]
         return out
 
+    def scores(self, text: str | None, lang, source, n_chars) -> list[float]:
+        """[p_text, p_page, p] of each head for one document."""
+        f = self.features(text, lang, source, n_chars)
+        p = self.probabilities([(np.zeros(len(x), int), np.array(x, int)) for x in f], 1)
+        return [float(x[0]) for head in HEADS for x in p[head]]
+
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality, toxic) -> Model.
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.fromiter(chain.from_iterable(lists), np.int64)
 
-    Samples are chosen by the hash of doc_id. Null doc_ids and labels are left out; of repeated labels the worse
-    counts. A head with labels of only one kind isn't trained.
+
+def _columns(b: pa.RecordBatch):
+    return zip(strings(b.column("text")), *[b.column(c).to_pylist() for c in ("lang", "source", "n_chars")])
+
+
+_META = ("text", "lang", "source", "n_chars")
+
+
+def _chosen(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """One row for each labelled doc_id, whatever its repeats: that with the least hash."""
+    j = pick(docs, "doc_id", *_META).withColumn("n_chars", F.col("n_chars").cast("long")).join(F.broadcast(given), "doc_id")
+    row = F.struct(F.xxhash64(*_META).alias("h"), *_META, "quality", "toxic")
+    return j.groupBy("doc_id").agg(F.min(row).alias("r")).select("doc_id", *[f"r.{c}" for c in (*_META, "quality", "toxic")], F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(20)).cast("int").alias("fold"))
+
+
+def _vocabulary(table: DataFrame, least: int = 5, surely: float = 3.5) -> dict[str, int]:
+    """The words (and prefixes) that tell the classes of either head apart, by labelled documents to fit on. Words are
+    counted by tasks; those too rare stay there."""
+    at = lambda head, y: F.count_if(F.col(head) == y)
+    fit = table.where(F.col("fold") < FIT)
+    sides = [(h, y) for h in HEADS for y in (1, 0)]
+    totals = fit.agg(*[at(h, y) for h, y in sides]).first()
+    counts = fit.select(F.explode("words").alias("word"), *HEADS).groupBy("word").agg(F.count("*").alias("n"), *[at(h, y).alias(f"{h}{y}") for h, y in sides])
+    t = counts.where(F.col("n") >= least).drop("n").orderBy("word").toPandas()
+    sure = np.zeros(len(t), bool)
+    for i, head in enumerate(HEADS):
+        a, b = t[f"{head}1"].to_numpy(float), t[f"{head}0"].to_numpy(float)
+        na, nb = totals[2 * i], totals[2 * i + 1]
+        odds = np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))
+        sure |= (np.abs(odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) > surely) & (a + b >= least)
+    return {w: i for i, w in enumerate(t["word"][sure].tolist())}
+
+
+def featured(docs: DataFrame, model: Model, known: DataFrame | None = None) -> DataFrame:
+    """docs -> written table (doc_id, known, words, page) of every row's features: small integers, no texts. known:
+    whether the doc_id is among `known`."""
+    docs = pick(docs, "doc_id", *_META).withColumn("n_chars", F.col("n_chars").cast("long"))
+    flag = F.lit(False)
+    if known is not None:
+        docs = docs.join(F.broadcast(known.select("doc_id", F.lit(True).alias("known"))), "doc_id", "left")
+        flag = F.coalesce("known", F.lit(False))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [model.features(*r) for r in _columns(b)]
+            lists = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("known"), *lists], names=["doc_id", "known", "words", "page"])
+
+    return written(docs.select("doc_id", *_META, flag.alias("known")).mapInArrow(run, f"doc_id {kind}, known boolean, words array<int>, page array<int>"), "features")
+
+
+def _arrays(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for c in ("words", "page"):
+        x = b.column(c)
+        out.append((np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
+    return out
+
+
+def _exchange(features: DataFrame, model: Model, sure: float) -> dict[tuple[str, str, int], Counter]:
+    """(head, view that learns, class) -> how many documents without a label, of which the other view is sure, hold each
+    feature; -1: how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str, int], np.ndarray] = {}
+        for b in batches:
+            rows, free = _arrays(b), ~b.column("known").to_numpy(zero_copy_only=False).astype(bool)
+            p = model.probabilities(rows, b.num_rows)
+            for head in model.heads:
+                for i, view in enumerate(VIEWS):
+                    other = p[head][1 - i]
+                    r, c = rows[i]
+                    for y, mask in ((1, free & (other > sure)), (0, free & (other < 1 - sure))):
+                        if mask.any():
+                            n = np.bincount(np.append(c[mask[r]], model.heads[head][view][0].size - 1), minlength=model.heads[head][view][0].size)
+                            n[-1] = mask.sum()
+                            sums[head, view, y] = sums.get((head, view, y), 0) + n
+        out = [(*k, -1 if f == len(n) - 1 else f, int(n[f])) for k, n in sums.items() for f in np.flatnonzero(n).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["head", "view", "y", "feature", "n"])
+
+    got = features.mapInArrow(run, "head string, view string, y int, feature int, n long").groupBy("head", "view", "y", "feature").agg(F.sum("n").alias("n"))
+    out: dict[tuple[str, str, int], Counter] = {}
+    for r in got.collect():  # at most a row for each feature, view, head and class
+        out.setdefault((r.head, r.view, r.y), Counter())[r.feature] = r.n
+    return out
+
+
+def _log_odds(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, given: list[Counter | None]) -> np.ndarray:
+    """Of each feature, by the labelled rows in use and the pseudo-labels of class 0 and 1 (if there are both)."""
+    sides = []
+    for c in (0, 1):
+        mask = use & (y == c)
+        n, total = np.bincount(cols[mask[rows]], minlength=size).astype(float), float(mask.sum())
+        if all(given):
+            more = np.zeros(size)
+            for f, k in given[c].items():
+                if f >= 0:
+                    more[f] = k
+            n, total = n + more, total + given[c][-1]
+        sides.append(np.log((n + 0.5) / (total + 1)))
+    return sides[1] - sides[0]
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> Model:
+    """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality, toxic) -> Model."""
+    return _train(docs, labels, labelled, rounds, sure)[0]
+
+
+def _train(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int, sure: float) -> tuple[Model, DataFrame]:
+    """The model, and the features of all rows (see featured).
+
+    The labelled sample is chosen by the hash of doc_id. Null doc_ids and labels are left out; of repeated labels the
+    worse counts. A head with labels of only one kind isn't trained.
     """
-    given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    pool = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(unlabelled)
-    ids = given.unionByName(pool.selectExpr("doc_id", "cast(null as int) quality", "cast(null as int) toxic")).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = pick(docs, "doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id").limit(2 * (labelled + unlabelled))
+    given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
+    given = written(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "given")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words, measures, meta = [], [], []
-            for t, lang, source, n in zip(strings(b.column("text")), *[b.column(c).to_pylist() for c in ("lang", "source", "n_chars")]):
-                w, x = text_view(t)
-                words.append(list(w))
-                measures.append(x)
-                meta.append(meta_view(lang, source, n))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(measures, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32())), b.column("quality"), b.column("toxic")], names=["words", "measures", "meta", "quality", "toxic"])
-
-    chosen = chosen.select("text", "lang", F.col("source"), F.col("n_chars").cast("long"), F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    t = chosen.mapInArrow(features, "words array<string>, measures array<double>, meta array<int>, quality int, toxic int").toArrow().combine_chunks()
+            words, measures = [], []
+            for t in strings(b.column("text")):
+                w = content(t)
+                words.append(sorted(w | {p for x in w if (p := prefix(x))}))
+                measures.append(layout(t))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.list_(pa.string())), pa.array(measures, pa.list_(pa.float64()))], names=[*b.schema.names, "words", "measures"])
+
+    chosen = _chosen(docs, given)
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    head = f"doc_id {kind}, text string, lang string, source string, n_chars long, quality int, toxic int, fold int"
+    table = written(chosen.mapInArrow(look, f"{head}, words array<string>, measures array<double>"), "labelled")
     model = Model()
-    if not t.num_rows:
-        return model
-    lists = t["words"].combine_chunks() if isinstance(t["words"], pa.ChunkedArray) else t["words"]
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
-    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-    rows = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
-    measures = np.array(t["measures"].to_pylist(), float)
-    model.edges = np.quantile(measures, np.arange(1, BINS) / BINS, axis=0).T
-    bins = np.stack([BINS * i + np.searchsorted(model.edges[i], measures[:, i]) for i in range(MEASURES)], axis=1)
-    meta = np.array(t["meta"].to_pylist(), int)
-    n = t.num_rows
-    mrows, mcols = np.repeat(np.arange(n), meta.shape[1]), meta.ravel()
-    brows, bcols = np.repeat(np.arange(n), MEASURES), bins.ravel()
-    held = np.random.default_rng(5).random(n) < 0.25  # labelled documents that only calibrate
-    for head in HEADS:
-        y = np.array([np.nan if v is None else v for v in t[head].to_pylist()], float)
-        known = ~np.isnan(y)
-        fit, cal = known & ~held, known & held
-        if len(set(y[fit])) < 2 or len(set(y[cal])) < 2:
-            continue
-        # the words that tell the classes apart most surely
-        pos, neg = y == 1, y == 0
-        a, b = (np.bincount(codes[(fit & c)[rows]], minlength=len(names)) for c in (pos, neg))
-        na, nb = (fit & pos).sum(), (fit & neg).sum()
-        odds = np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        z[a + b < 5] = 0
-        best = np.argsort(-np.abs(z), kind="stable")[:WORDS]
-        best = best[np.abs(z[best]) > 4]
-        place = np.full(len(names), -1)
-        place[best] = np.arange(len(best))
-        hit = place[codes] >= 0
-        trows, tcols = np.r_[rows[hit], brows], np.r_[place[codes[hit]], len(best) + bcols]
-        size = len(best) + BINS * MEASURES
-        views = {"text": (trows, tcols, size), "meta": (mrows, mcols, META)}
-        target = {v: np.where(fit, y, 0.0) for v in views}
-        use = {v: fit.astype(float) for v in views}
-        for r in range(rounds + 1):
-            w = {v: _fit(*x[:2], target[v], x[2], use[v]) for v, x in views.items()}
-            score = {v: np.bincount(x[0], w[v][x[1]], n) + w[v][-1] for v, x in views.items()}
-            cals = {v: _platt(score[v][cal][:, None], y[cal]) for v in views}
-            if r == rounds:
-                break
-            for v, other in (("text", "meta"), ("meta", "text")):
-                p = _sigmoid(cals[v][0][0] * score[v] + cals[v][1])
-                new = ~known & ((p > sure) | (p < 1 - sure)) & (use[other] == 0)
-                target[other][new] = p[new] > 0.5
-                use[other][new] = 0.5
-        both = _platt(np.c_[score["text"], score["meta"]][cal], y[cal])
-        p = _sigmoid(score["text"] * both[0][0] + score["meta"] * both[0][1] + both[1])
-        model.accuracy[head] = float(((p > 0.5) == y)[cal].mean())
-        words = dict(zip(names.take(pa.array(best)).to_pylist(), w["text"][: len(best)].tolist()))
-        model.heads[head] = {"words": words, "known": frozenset(words), "bins": w["text"][len(best) : -1].tolist(), "bias": float(w["text"][-1]), "meta": w["meta"].tolist(), "text_cal": cals["text"], "meta_cal": cals["meta"], "both": both}
-    return model
+    measures = np.array([r[0] for r in table.select("measures").collect()], float)
+    if len(measures):
+        model.edges = np.quantile(measures, np.arange(1, BINS) / BINS, axis=0).T
+        model.vocabulary = _vocabulary(table)
+    features = featured(docs, model, given)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [model.features(*r) for r in _columns(b)]
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)], *[b.column(c) for c in (*HEADS, "fold")]], names=["words", "page", *HEADS, "fold"])
+
+    t = table.drop("words", "measures").mapInArrow(small, "words array<int>, page array<int>, quality int, toxic int, fold int").orderBy(F.xxhash64("words", "page"), *HEADS, "fold").toPandas()
+    n = len(t)
+    if not n:
+        return model, features
+    flat = dict(zip(VIEWS, (_flat(t["words"].tolist()), _flat(t["page"].tolist()))))
+    size = {"text": len(model.vocabulary), "page": PAGE}
+    fold, ys = t["fold"].to_numpy(), {h: t[h].to_numpy(float) for h in HEADS}
+    parts = {h: [~np.isnan(y) & f for f in (fold < FIT, (fold >= FIT) & (fold < CALIBRATE), fold >= CALIBRATE)] for h, y in ys.items()}
+    heads = [h for h in HEADS if all(len(set(ys[h][m])) == 2 for m in parts[h][:2])]
+    pseudo: dict[tuple[str, str, int], Counter] = {}
+    for r in range(rounds + 1):
+        for h in heads:
+            y, (fit, cal, rest) = ys[h], parts[h]
+            clean = np.where(fit, y, 0.0)
+            m: dict = {}
+            z = []
+            for v in VIEWS:
+                odds = _log_odds(*flat[v], y, fit, size[v], [pseudo.get((h, v, c)) for c in (0, 1)])
+                w = _fit(*flat[v], clean, size[v], fit, odds)
+                z.append(np.bincount(flat[v][0], w[flat[v][1]], n) + w[-1])
+                m[v] = (w, _platt(z[-1][cal][:, None], y[cal]))
+            m["both"] = _platt(np.stack(z, 1)[cal], y[cal])
+            model.heads[h] = m
+            if rest.any():
+                p = np.stack(z, 1) @ m["both"][0] + m["both"][1]
+                model.accuracy[h] = float(((p > 0) == y)[rest].mean())
+        if r < rounds and heads:
+            pseudo = _exchange(features, model, sure)
+            model.exchanged += [(r + 1, h, v, pseudo.get((h, v, 0), Counter())[-1], pseudo.get((h, v, 1), Counter())[-1]) for h in heads for v in VIEWS]
+    return model, features
 
 
 _FIELDS = ("quality_text", "quality_page", "p_quality", "toxic_text", "toxic_page", "p_toxic")
@@ -212,17 +363,34 @@ def score(model: Model, text: Column, lang: Column, source: Column, n_chars: Col
     @F.pandas_udf(", ".join(f"{f} double" for f in _FIELDS) + ", keep boolean")
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         clean = lambda x: None if x is None or x != x else x
-        out = pd.DataFrame([known.scores(clean(t), clean(a), clean(b), clean(c)) for t, a, b, c in zip(text, lang, source, n_chars)], columns=list(_FIELDS), index=text.index, dtype=float)
+        rows = [known.features(clean(t), clean(a), clean(b), clean(c)) for t, a, b, c in zip(text, lang, source, n_chars)]
+        p = known.probabilities([_flat([r[i] for r in rows]) for i in (0, 1)], len(rows))
+        out = pd.DataFrame(dict(zip(_FIELDS, [x for h in HEADS for x in p[h]])), index=text.index, dtype=float)
         return out.assign(keep=(out.p_quality >= 0.5) & (out.p_toxic < 0.5))
 
     return run(text.cast("string"), lang.cast("string"), source.cast("string"), n_chars.cast("long"))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) -> doc_id, the probabilities and keep, of every row.
+def scored(features: DataFrame, model: Model) -> DataFrame:
+    """Features (see featured) -> doc_id, the probabilities and keep, of every row. Map only."""
+    kind = features.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = model.probabilities(_arrays(b), b.num_rows)
+            cols = [x for h in HEADS for x in p[h]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols), pa.array((cols[2] >= 0.5) & (cols[5] < 0.5))], names=["doc_id", *_FIELDS, "keep"])
+
+    return features.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{f} double' for f in _FIELDS)}, keep boolean")
+
+
+def classified(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
+    """Trained on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic) and applied to docs:
+    doc_id, the probabilities and keep, of every row.
 
     Null text: as empty; null metadata is a value of its own. Null and repeated doc_ids are rows like any others. Other
-    columns are ignored. Empty table: no rows. Map only.
+    columns are ignored. Empty tables: no rows; without labels all are kept. Texts are read once for the features, which
+    are written; rounds and scores need no texts.
     """
-    s = score(model, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"))
-    return pick(docs, "doc_id", "text", "lang", "source", "n_chars").select("doc_id", s.alias("s")).select("doc_id", "s.*")
+    model, features = _train(docs, labels, labelled, rounds, sure)
+    return scored(features, model)
