@@ -1,6 +1,7 @@
 """Token ids in files of independent zstandard frames with a trailing seek table.
 
-A file: frames, each with its own checksum and holding the ids of about `frame_ids` tokens; a skippable frame with the
+A file: frames, each with its own checksum and holding whole documents of together at most `frame_ids` ids (a longer
+document has frames of its own); a skippable frame with the
 index of documents (doc_id, first token; itself a checked zstandard frame); a skippable frame with the seek table in
 the published seekable layout: for each frame its compressed size, size, and the low half of the XXH64 of its content,
 then the number of frames, a descriptor and the magic number. A reader reads the end of the file first and then
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +26,14 @@ from pyspark.sql import functions as F
 from .common import filesystem, pack, pick, shared_folder, slices, strings, unpack, utf8, written
 from .tokens import encoder
 
+#: A frame holds at most so many ids: what a reader decompresses for a document.
+FRAME = 1 << 14
 _INDEX, _TABLE, _FOOT = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
 
+_MANIFEST = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64())])
+
+
 class Corrupt(ValueError):
     pass
 
@@ -34,7 +41,7 @@ class Corrupt(ValueError):
 class Writer:
     """add(doc_id, ids) in the order wanted; close() writes index and seek table."""
 
-    def __init__(self, out, width: int = 4, frame_ids: int = 1 << 17, level: int = 3):
+    def __init__(self, out, width: int = 4, frame_ids: int = FRAME, level: int = 3):
         self.out, self.width, self.size = out, width, frame_ids * width
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.table: list[tuple[int, int, int]] = []
@@ -45,25 +52,25 @@ class Writer:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id, self.tokens))
         self.tokens += len(ids) // self.width
+        if self.held + len(ids) > self.size:
+            self._frames()
         self.parts.append(ids)
         self.held += len(ids)
         if self.held >= self.size:
-            self._frames(self.size)
+            self._frames()
 
-    def _frames(self, least: int) -> None:
-        """Writes what is held, in frames of at most self.size, as long as at least `least` bytes are left."""
+    def _frames(self) -> None:
+        """Writes what is held, in frames of at most self.size."""
         data = b"".join(self.parts)
-        at = 0
-        while len(data) - at >= least and at < len(data):
+        for at in range(0, len(data), self.size):
             piece = data[at : at + self.size]
             packed = self.zstd.compress(piece)
             self.out.write(packed)
             self.table.append((len(packed), len(piece), xxhash.xxh64_intdigest(piece) & 0xFFFFFFFF))
-            at += len(piece)
-        self.parts, self.held = [data[at:]], len(data) - at
+        self.parts, self.held = [], 0
 
     def close(self) -> None:
-        self._frames(1)
+        self._frames()
         ids = np.array([d if d is not None else 0 for d, _ in self.docs], np.int64)
         null = np.packbits(np.array([d is None for d, _ in self.docs], bool))
         starts = np.array([s for _, s in self.docs] + [self.tokens], np.uint64)
@@ -101,6 +108,10 @@ class Reader:
         self.doc_ids = [None if z else int(d) for d, z in zip(unpack(parts[0]).view(np.int64), null)]
         self.starts = unpack(parts[2]).astype(np.int64)
         self.tokens = int(self.starts[-1])
+        ids = unpack(parts[0]).view(np.int64)
+        self._null, known = np.flatnonzero(null), np.flatnonzero(~null)
+        self._order = known[np.argsort(ids[known], kind="stable")]
+        self._sorted = ids[self._order]
         self._last: tuple[int, bytes] = (-1, b"")
 
     def _at(self, at: int, n: int) -> bytes:
@@ -137,7 +148,14 @@ class Reader:
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of each document of this id."""
-        return [self.ids(i) for i, d in enumerate(self.doc_ids) if d == doc_id]
+        return [self.ids(i) for i in self.where(doc_id)]
+
+    def where(self, doc_id: int | None) -> list[int]:
+        """The places of the documents of this id, by bisection."""
+        if doc_id is None:
+            return self._null.tolist()
+        lo, hi = np.searchsorted(self._sorted, doc_id, "left"), np.searchsorted(self._sorted, doc_id, "right")
+        return self._order[lo:hi].tolist()
 
 
 def open_file(uri: str) -> Reader:
@@ -145,10 +163,11 @@ def open_file(uri: str) -> Reader:
     return Reader(fs.open_input_file(path), fs.get_file_info(path).size)
 
 
-def write_frames(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end: int | None = 0, frame_ids: int = 1 << 17) -> DataFrame:
+def write_frames(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end: int | None = 0, frame_ids: int = FRAME) -> DataFrame:
     """Encodes docs (doc_id integer, text), each closed by id `end`, into files in ascending doc_id order.
 
-    -> written table (part, path, n_docs, n_tokens): a file for each part, parts in order. Null text: as empty. Null
+    -> written table (part, path, n_docs, n_tokens, least, greatest): a file for each part, parts in order, with the
+    range of its doc_ids (null: none; a file with a null doc_id has no least). Null text: as empty. Null
     doc_ids come first, equal ones in the order of their texts' hashes. Empty table: no files. A file takes its name
     when it is whole and each attempt has its own, so that a lost executor leaves no half of one.
     """
@@ -173,26 +192,31 @@ def write_frames(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             f.close()
             fs.move(path + ".part", path)
             name = f"{folder}/part-{part:08d}-{attempt}.zst"
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [len(w.docs)], "n_tokens": [w.tokens]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [len(w.docs)], "n_tokens": [w.tokens], "least": [w.docs[0][0]], "greatest": [w.docs[-1][0]]}, schema=_MANIFEST)
 
     ordered = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"), "manifest")
+    return written(ordered.mapInArrow(run, "part long, path string, n_docs long, n_tokens long, least long, greatest long"), "manifest")
 
 
-def read_frames(spark, files: Iterable[tuple[str, int]], doc_ids: list[int] | None = None) -> DataFrame:
-    """(path, ids before the file) -> (doc_id, start, ids binary of little-endian unsigned 32-bit ids), a task a file.
+def read_frames(spark, files: Iterable[tuple], doc_ids: list[int | None] | None = None) -> DataFrame:
+    """(path, ids before the file, least, greatest doc_id) -> (doc_id, start, ids binary of little-endian unsigned
+    32-bit ids), a task a file.
 
-    With doc_ids, only these documents' frames are decompressed.
+    With doc_ids, only files whose range may hold one are opened, and only these documents' frames are decompressed.
+    A file given without its range is opened.
     """
-    files = list(files)
-    wanted = None if doc_ids is None else set(doc_ids)
+    files = [(*f, None, None)[:4] for f in files]
+    wanted = None if doc_ids is None else sorted({d for d in doc_ids if d is not None}) + [None] * (None in doc_ids)
+    if wanted is not None:
+        known = [d for d in wanted if d is not None]
+        files = [f for f in files if f[2] is None or bisect_left(known, f[2]) < bisect_right(known, f[3])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, before in zip(b.column("path").to_pylist(), b.column("before").to_pylist()):
                 r = open_file(uri)
-                at = [i for i, d in enumerate(r.doc_ids) if wanted is None or d in wanted]
+                at = range(len(r.doc_ids)) if wanted is None else sorted(i for d in wanted for i in r.where(d))
                 for j in range(0, len(at), 512):
                     some = at[j : j + 512]
                     yield pa.RecordBatch.from_arrays(
@@ -200,15 +224,15 @@ def read_frames(spark, files: Iterable[tuple[str, int]], doc_ids: list[int] | No
                         names=["doc_id", "start", "ids"],
                     )
 
-    rows = spark.createDataFrame([(i, p, b) for i, (p, b) in enumerate(files)], "i int, path string, before long")
+    rows = spark.createDataFrame([(i, p, b) for i, (p, b, _, _) in enumerate(files)], "i int, path string, before long")
     return rows.repartitionById(max(1, len(files)), "i").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def offsets(manifest: DataFrame) -> list[tuple[str, int]]:
-    """The files with the ids before each; one row a file comes to the driver."""
+def offsets(manifest: DataFrame) -> list[tuple[str, int, int | None, int | None]]:
+    """The files with the ids before each and their ranges; one row a file comes to the driver."""
     out, before = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r.part):
-        out.append((r.path, before))
+        out.append((r.path, before, r.least, r.greatest))
         before += r.n_tokens
     return out
 
