@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import U64, pack, pack_sorted, partitions, pick, slices, unpack, unpack_sorted, utf8, written
 
 BITS = 64
+#: Verified pairs are merged into counts and roots when a task holds more than this many.
+_PAIRS = 1 << 20
 _LOW = U64(0x0101010101010101)
 
 
@@ -210,11 +212,15 @@ def _collide(balls: Balls, hot: int):
                     work.append(np.r_[np.array([choice, keys[s], za.stop - za.start, a == b], U64), fp[za], n[za], fp[zb], n[zb]].tobytes())
         few = np.repeat((sizes > 1) & (sizes <= hot), sizes)
         keys, fp, n = keys[few], fp[few], n[few]
-        at, d, found = np.arange(len(keys)), 1, []
+        at, d, found, held = np.arange(len(keys)), 1, [], 0
         while len(at := at[at + d < len(keys)]) and len(at := at[keys[at + d] == keys[at]]):
-            found += _verify(balls, choice, keys[at], fp[at], fp[at + d], n[at], n[at + d])
+            for part in np.array_split(at, -(-len(at) // _PAIRS)):
+                new = _verify(balls, choice, keys[part], fp[part], fp[part + d], n[part], n[part + d])
+                found, held = found + new, held + sum(len(f[0]) for f in new)
+                if held > _PAIRS:
+                    out, found, held = out + _merge(found), [], 0
             d += 1
-        out = _merge(found)
+        out += _merge(found)
         if work:
             k = pa.nulls(len(work), pa.int64())
             out.append(pa.RecordBatch.from_arrays([k, k, k, pa.array(work, pa.binary())], schema=_FOUND))
@@ -231,11 +237,15 @@ def _block_pairs(balls: Balls):
                 choice, key, m, same = int(a[0]), a[1], int(a[2]), bool(a[3])
                 x, nx, rest = a[4 : 4 + m], a[4 + m : 4 + 2 * m], a[4 + 2 * m :]
                 y, ny = rest[: len(rest) // 2], rest[len(rest) // 2 :]
-                found = []
+                found, held = [], 0
                 for i in range(m):
                     z = slice(i + 1, None) if same else slice(None)
                     k = len(y[z])
-                    found += _verify(balls, choice, np.full(k, key), np.full(k, x[i]), y[z], np.full(k, nx[i]), ny[z])
+                    new = _verify(balls, choice, np.full(k, key), np.full(k, x[i]), y[z], np.full(k, nx[i]), ny[z])
+                    found, held = found + new, held + sum(len(f[0]) for f in new)
+                    if held > _PAIRS:
+                        yield from _merge(found)
+                        found, held = [], 0
                 yield from _merge(found)
 
     return run

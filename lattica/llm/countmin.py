@@ -102,7 +102,7 @@ class Chunk:
             k >>= 1
             if k:
                 power = power[: max(0, len(power) - w)] * mult + power[w:]
-                w, mult = 2 * w, mult * mult
+                w, mult = 2 * w, U64(int(mult) * int(mult) & 0xFFFFFFFFFFFFFFFF)
         out = (out ^ (out >> U64(31))) * U64(0xBF58476D1CE4E5B9)
         return out ^ (out >> U64(29))
 
@@ -160,6 +160,19 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(at, len(among) - 1)] == values
 
 
+def _member_of_both(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Whether (a, b) is among the pairs (ea, eb)."""
+    out = np.zeros(len(a), bool)
+    order = np.argsort(ea, kind="stable")
+    ea, eb = ea[order], eb[order]
+    at = np.searchsorted(ea, a)
+    left = np.flatnonzero(at < len(ea))
+    while len(left := left[at[left] < len(ea)]) and len(left := left[ea[at[left]] == a[left]]):
+        out[left] |= eb[at[left]] == b[left]
+        at[left] += 1
+    return out
+
+
 def _candidates(k: int, width: int, depth: int, slots: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         c, path = Chunk(t["path"][0].as_py(), k), t["path"][0].as_py()
@@ -204,9 +217,9 @@ def _group(key: tuple, t: pa.Table) -> pa.Table:
     if len(a):
         low[order] = np.minimum.reduceat(least[order], at)[np.cumsum(first) - 1]
     flag, rows, pos = low < least, [], 0
-    for (pa_, _, _), chunk, path in zip(parts, t["chunk"].to_pylist(), t["path"].to_pylist()):
+    for (pa_, pb, _), chunk, path in zip(parts, t["chunk"].to_pylist(), t["path"].to_pylist()):
         f = flag[pos : pos + len(pa_)]
-        rows.append((key[0].as_py(), chunk, 0, path, pack_sorted(pa_[f]), None))
+        rows.append((key[0].as_py(), chunk, 0, path, pack_sorted(pa_[f]), pack(pb[f])))
         pos += len(pa_)
     return _rows(rows)
 
@@ -217,10 +230,10 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 def _remove(k: int, digest: bool):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         c = Chunk(t["path"][0].as_py(), k)
-        elsewhere = np.sort(np.concatenate([unpack_sorted(x.as_py()) for x in t["cells"]]))
+        ea, eb = (np.concatenate(x) for x in zip(*[(unpack_sorted(x.as_py()), unpack(m.as_py())) for x, m in zip(t["cells"], t["more"])]))
         idx = np.argsort(c.a, kind="stable")
         a, b, doc = c.a[idx], c.b[idx], c.order[c.doc[idx]]
-        out = _member(a, elsewhere)
+        out = _member_of_both(a, b, ea, eb)
         if len(a):  # the others repeat only within the chunk: its least doc_id keeps them
             if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
                 order = np.lexsort((b, a))

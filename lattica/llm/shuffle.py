@@ -22,6 +22,8 @@ from .common import partitions, written
 
 #: File names of at most so many bytes are broadcast.
 NAMES = 64 << 20
+#: An input partition is a run of at most 2^BLOCK rows of a file, so a task's permutation stays small in a large file.
+BLOCK = 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -116,14 +118,17 @@ def shuffled(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
     each = max(1, -(-partitions(spark) // shards))
     sizes = _even(total, shards)
     columns = np.concatenate([_even(int(s), each) for s in sizes])
-    before = np.r_[0, np.cumsum([f.n for f in files], dtype=np.int64)]
-    if before.nbytes > 64 << 20:
-        raise ValueError("more than 8 million input files: compact them first")
+    parts = [-(-f.n // (1 << BLOCK)) for f in files]
+    first = np.r_[0, np.cumsum(parts, dtype=np.int64)]
+    runs = [min(1 << BLOCK, f.n - at) for f in files for at in range(0, f.n, 1 << BLOCK)]
+    before = np.r_[0, np.cumsum(runs, dtype=np.int64)]
     known = spark.sparkContext.broadcast(before)
-    names = spark.createDataFrame([(f["__file"], i) for i, f in enumerate(files)], "__file string, __p int")
+    names = spark.createDataFrame([(f["__file"], int(i)) for i, f in zip(first, files)], "__file string, __first long")
     if sum(len(f["__file"]) + 32 for f in files) <= NAMES:  # else the join is a shuffle by file
         names = F.broadcast(names)
 
+    number, within = F.col("__first") + F.shiftright("__row", BLOCK), F.col("__row") % (1 << BLOCK)
+
     @F.pandas_udf("int")
     def part(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         permuted: dict[int, np.ndarray] = {}
@@ -137,7 +142,7 @@ def shuffled(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
                 out[p == x] = permuted[x][r[p == x]]
             yield pd.Series(out)
 
-    sent = rows.join(names, "__file").withColumn("__part", part("__p", "__row")).withColumn("__key", F.xxhash64(F.lit(seed), "__p", "__row"))
+    sent = rows.join(names, "__file").withColumn("__p", number).withColumn("__row", within).withColumn("__part", part("__p", "__row")).withColumn("__key", F.xxhash64(F.lit(seed), "__p", "__row"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy("__key", "__p", "__row")) - 1
     shard, sub = F.floor(F.col("__part") / each).cast("int"), F.col("__part") % each
     size = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")

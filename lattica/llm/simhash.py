@@ -42,9 +42,12 @@ def fingerprint(text: str, lanes: int = 2) -> bytes:
     terms = terms[:, order]
     first = np.flatnonzero(np.r_[True, terms[0, 1:] != terms[0, :-1]])
     weights = 1 + np.log2(np.diff(np.r_[first, len(order)])).astype(np.float32)
-    bits = np.unpackbits(np.ascontiguousarray(terms[:, first].T).astype(">u8").view(np.uint8).reshape(len(first), -1), axis=1)
-    votes = 2 * (weights @ bits.astype(np.float32)) - weights.sum()
-    return np.packbits(votes > 0).tobytes()
+    votes = np.zeros(64 * lanes)
+    for at in range(0, len(first), 1 << 14):  # a piece's matrix stays small however long the text is
+        piece = slice(at, at + (1 << 14))
+        bits = np.unpackbits(np.ascontiguousarray(terms[:, first[piece]].T).astype(">u8").view(np.uint8).reshape(-1, 8 * lanes), axis=1)
+        votes += weights[piece] @ bits.astype(np.float32)
+    return np.packbits(2 * votes > weights.sum(dtype=np.float64)).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -133,11 +136,15 @@ def _search(groups: DataFrame, tables: Tables, hot: int, pairs: bool) -> DataFra
             for i, x in enumerate(cuts):
                 for y in cuts[i:]:
                     work.append(np.concatenate([np.array([c, x.stop - x.start, x == y], U64), *[z[k].ravel() for k in (x, y) for z in (ids, n, w)]]).tobytes())
-        at, d = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= hot), sizes)), 1
+        at, d, held, out = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= hot), sizes)), 1, 0, []
         while len(at := at[at + d < len(m)]) and len(at := at[run[at + d] == run[at]]):
-            found.append(tables.verify(c, w, w, at, at + d))
+            for part in np.array_split(at, -(-len(at) // ballhash._PAIRS)):
+                found.append(tables.verify(c, w, w, part, part + d))
+                held += len(found[-1][0])
+                if held > ballhash._PAIRS:
+                    out, found, held = out + _report(found, ids, n, ids, n, pairs), [], 0
             d += 1
-        out = _report(found, ids, n, ids, n, pairs)
+        out += _report(found, ids, n, ids, n, pairs)
         if work:
             none = pa.nulls(len(work), pa.int64())
             out.append(pa.RecordBatch.from_arrays([none, none, none, pa.array(work, pa.binary())], schema=ballhash._FOUND))
@@ -150,10 +157,14 @@ def _search(groups: DataFrame, tables: Tables, hot: int, pairs: bool) -> DataFra
                 c, size, same = map(int, a[:3])
                 x, y = a[3 : 3 + size * (2 + words)], a[3 + size * (2 + words) :]
                 (ids, n, w), (ids2, n2, v) = ((z[:k], z[k : 2 * k], z[2 * k :].reshape(-1, words)) for z in (x, y) for k in (len(z) // (2 + words),))
-                found = []
+                found, held = [], 0
                 for i in range(size):
                     j = np.arange(i + 1 if same else 0, len(v))
                     found.append(tables.verify(c, w, v, np.full(len(j), i), j))
+                    held += len(found[-1][0])
+                    if held > ballhash._PAIRS:
+                        yield from _report(found, ids, n, ids2, n2, pairs)
+                        found, held = [], 0
                 yield from _report(found, ids, n, ids2, n2, pairs)
 
     emitted = groups.select("id", "n", "fingerprint").mapInArrow(emit, "slot int, choice int, ids binary, ns binary, fps binary")
@@ -174,6 +185,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, extra: int = 2, bits: int | None
     """fps (fingerprint hex) -> (a, b, distance), a < b: the distinct fingerprints within the radius of each other.
 
     Equal fingerprints are one, so copies make no pairs. A pair is emitted only by the first table in which it meets.
+    Null fingerprints pair with none; an empty table has no pairs; other columns are ignored, whatever their names.
     """
     ship(fps.sparkSession)
     one = fps.select("fingerprint").where("fingerprint is not null").distinct()
