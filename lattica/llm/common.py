@@ -61,7 +61,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").cast("string").alias(n) if n == "text" else F.col(f"`{n}`") for n in names])
 
 
-# ---- packed arrays -------------------------------------------------------------------------------------------------
+# packed arrays
 
 _C, _D = zstandard.ZstdCompressor(level=1, write_checksum=True), zstandard.ZstdDecompressor()
 
@@ -88,7 +88,7 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b), dtype=U64)
 
 
-# ---- texts ---------------------------------------------------------------------------------------------------------
+# texts
 
 
 def utf8(column: pa.Array) -> list[bytes]:

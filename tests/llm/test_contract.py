@@ -152,11 +152,12 @@ def test_op7(spark, folder):
     for d, t, *_ in docs_of(spark, folder):
         toks = tiling.tokens(t)
         for x, item in items:
-            grams = {tuple(item[j : j + 5]) for j in range(len(item) - 4)}
-            at = [i for i in range(len(toks) - 4) if tuple(toks[i : i + 5]) in grams]
-            if not at:
+            k = min(5, len(item))
+            grams = {tuple(item[j : j + k]) for j in range(len(item) - k + 1)}
+            at = [i for i in range(len(toks) - k + 1) if tuple(toks[i : i + k]) in grams]
+            if not item or not at:
                 continue
-            tiles = brute_tiles(item, toks[: at[-1] + len(item) + 5], 5)
+            tiles = brute_tiles(item, toks[: at[-1] + len(item) + k], k)
             c = sum(n for *_, n in tiles) / len(item)
             if c >= 0.5:
                 want.append({"doc_id": d, "item_id": x, "coverage": c, "n_tiles": len(tiles), "n_tokens": sum(n for *_, n in tiles)})
