@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import ballhash, cotrain, secrets, tiling
 from lattica.llm.common import written
-from lattica.llm.queries import _pack
+from lattica.llm.queries import pack_documents
 from lattica.session import ship
 
 #: The name of a row's identity within near_duplicates.
@@ -17,7 +17,11 @@ ROW = "_near_duplicates_row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects (poor or toxic) go. Null text is scored as empty."""
+    """Documents that the co-trained classifier rejects (poor or toxic) go.
+
+    Null text is scored as empty, null metadata is a value of its own. Equal rows fare alike; rows are judged by
+    themselves, whatever their doc_id. Without labels, or of an empty table, nothing is rejected.
+    """
     ship(spark)
     model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keep = cotrain.score(model, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"))["keep"]
@@ -37,13 +41,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose string tiles cover half of a benchmark item or more. Null text stays."""
+    """Documents go whose string tiles cover half of a benchmark item or more.
+
+    Null and empty texts stay, and all rows where the benchmark is empty. Equal rows fare alike; other columns, whatever
+    their names, are left as they are.
+    """
     ship(spark)
     return docs.where(~tiling.is_contaminated(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, and weak parts linked to them, are replaced in the text; n_chars follows. No document goes."""
+    """Secrets, and weak parts linked to them, are replaced in the text; n_chars follows. No document goes.
+
+    Null text stays null and keeps its n_chars. Equal rows fare alike. Empty table: no rows.
+    """
     ship(spark)
     out = docs.withColumn("text", secrets.redacted(F.col("text")))
     n = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
@@ -51,8 +62,12 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of at most 2048: a row a piece."""
-    return _pack(docs)
+    """The documents' tokens in sequences of at most 2048: a row a piece.
+
+    Null text: as empty (the closing token alone). Null, repeated and equal rows are documents of their own; ties in
+    length are packed in the order of doc_id and then of tokens. Empty table: no rows.
+    """
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
