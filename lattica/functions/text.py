@@ -59,24 +59,41 @@ def score_match(text: Column, query: str) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """* and ? stop at /, ** doesn't; without / it matches at any depth; without a mark: the path or what is below it."""
+    """* and ? stop at /, ** doesn't; [..] is a class (! or ^ first: all others), {a,b} alternatives; without / it matches
+    at any depth; without a mark: the path or what is below it."""
     if not any(c in pattern for c in "*?[{"):
         return "^" + re.escape(pattern.rstrip("/")) + "(/.*)?$"
     if "/" not in pattern:
         pattern = "**/" + pattern
-    out, i = "^", 0
+    return "^" + _glob(pattern) + "$"
+
+
+def _glob(pattern: str) -> str:
+    out, i, open_ = "", 0, 0
     while i < len(pattern):
+        c = pattern[i]
+        close = pattern.find("]", i + 2) if c == "[" else -1
         if pattern.startswith("**/", i):
             out, i = out + "(.*/)?", i + 3
         elif pattern.startswith("**", i):
             out, i = out + ".*", i + 2
-        elif pattern[i] == "*":
+        elif c == "*":
             out, i = out + "[^/]*", i + 1
-        elif pattern[i] == "?":
+        elif c == "?":
             out, i = out + "[^/]", i + 1
+        elif close > 0:
+            inner = pattern[i + 1 : close]
+            no, inner = ("^", inner[1:]) if inner[0] in "!^" else ("", inner)
+            out, i = out + f"[{no}{re.sub(chr(92) * 2 + '|[&^~' + chr(92) + '[]', lambda m: chr(92) + m.group(), inner)}]", close + 1
+        elif c == "{" and "}" in pattern[i:]:
+            out, i, open_ = out + "(", i + 1, open_ + 1
+        elif c == "}" and open_:
+            out, i, open_ = out + ")", i + 1, open_ - 1
+        elif c == "," and open_:
+            out, i = out + "|", i + 1
         else:
-            out, i = out + re.escape(pattern[i]), i + 1
-    return out + "$"
+            out, i = out + re.escape(c), i + 1
+    return out
 
 
 def under(path: Column, prefix: str) -> Column:

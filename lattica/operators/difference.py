@@ -15,9 +15,45 @@ def structural_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str)
     return j.withColumn("change", change).where("change is not null").select(*keys, "change", "old_value", "new_value")
 
 
+def flattened(decls: DataFrame) -> DataFrame:
+    """(path, kind, name, signature) of the top level and its children; of equal keys the last counts."""
+    return decls.where("depth <= 1").groupBy("path", "kind", "name").agg(F.max_by("signature", "decl_ord").alias("signature"))
+
+
+def declaration_diff(old: DataFrame, new: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Two tables of declarations -> (path, file_change, kind, name, change, old_value, new_value), of the changed paths
+    only if they are given. file_change: added, removed or modified; files without a changed declaration have no row."""
+    if changed is not None:
+        old, new = (x.join(changed.select("path").distinct(), "path", "left_semi") for x in (old, new))
+    d = structural_diff(flattened(old), flattened(new), ["path", "kind", "name"], "signature")
+    before, after = (x.select("path").distinct().withColumn(c, F.lit(True)) for x, c in ((old, "was"), (new, "is")))
+    d = d.join(before, "path", "left").join(after, "path", "left")
+    state = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("modified")
+    return d.select("path", state.alias("file_change"), "kind", "name", "change", "old_value", "new_value")
+
+
+def in_order(diff: DataFrame) -> DataFrame:
+    """Files by components, declarations by name and then kind."""
+    return diff.orderBy(F.split("path", "/"), "name", "kind")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+    """The first row of each key; as an aggregate, so a key's rows aren't gathered in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
+    best = df.groupBy(*keys).agg(F.min(row).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row._{rest.index(c)}").alias(c) for c in df.columns])
 
 
 def last_wins(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+
+
+def snapshot_delta(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """What a rebuild of an index changed: declaration_diff over all paths of either."""
+    paths = old_files.select("path").unionByName(new_files.select("path")).distinct()
+    return declaration_diff(old, new, paths)
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

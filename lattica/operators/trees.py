@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 _KEYS = ["member", "path"]
 
 
@@ -42,5 +44,49 @@ def public_only(decls: DataFrame) -> DataFrame:
 
 
 def by_symbol(decls: DataFrame, name: str) -> DataFrame:
-    match = F.contains(F.lower("name"), F.lit(name.lower()))
-    return with_ancestors(decls, match).unionByName(with_descendants(decls, match)).distinct()
+    """Matches with all above and below: one semi-join, so each row stays once."""
+    m = _ranges(decls.where(F.contains(F.lower("name"), F.lit(name.lower()))))
+    above = (m.m_ord >= decls.decl_ord) & (m.m_ord <= decls.subtree_end)
+    below = (decls.decl_ord >= m.m_ord) & (decls.decl_ord <= m.m_end)
+    return decls.join(m, (decls.member == m.member) & (decls.path == m.path) & (above | below), "left_semi")
+
+
+def filter_index(files: DataFrame, decls: DataFrame, imports: DataFrame, path: str | None = None, kinds: list[str] | None = None, public: bool = False, symbol: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, decls, imports) that pass, in the order path, kind, public, symbol. Files in which a kind, public or symbol
+    filter leaves no declaration go with their imports."""
+    if path:
+        files, decls, imports = (x.where(X.under(F.col("path"), path)) for x in (files, decls, imports))
+    kept = decls
+    if kinds:
+        kept = by_kind(kept, kinds)
+    if public:
+        kept = public_only(kept)
+    if symbol:
+        kept = by_symbol(kept, symbol)
+    if kinds or public or symbol:
+        some = kept.select(*_KEYS).distinct()
+        files, imports = (x.join(some, _KEYS, "left_semi") for x in (files, imports))
+    return files, kept, imports
+
+
+def stats(files: DataFrame) -> DataFrame:
+    """A row for each member and language and for the totals (null): files, lines."""
+    return files.rollup("member", "language").agg(F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
+
+
+def tree_entries(files: DataFrame) -> DataFrame:
+    """(member, path, name, is_dir, depth): files and the folders above them, once each."""
+    parts = F.split("path", "/")
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i < F.size(parts), F.array_join(F.slice(parts, F.lit(1), i), "/"))), lambda x: x.isNotNull())
+    folders = files.select("member", F.explode(above).alias("path"), F.lit(True).alias("is_dir")).distinct()
+    both = folders.unionByName(files.select("member", "path", F.lit(False).alias("is_dir")))
+    return both.select("member", "path", F.substring_index("path", "/", -1).alias("name"), "is_dir", F.size(F.split("path", "/")).alias("depth"))
+
+
+def tree(files: DataFrame, prefix: str | None = None) -> DataFrame:
+    """The entries below the prefix, and the folders above it."""
+    t = tree_entries(files)
+    if not prefix:
+        return t
+    prefix = prefix.rstrip("/")
+    return t.where(X.under(F.col("path"), prefix) | F.startswith(F.lit(prefix + "/"), F.concat("path", F.lit("/"))))

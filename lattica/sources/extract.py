@@ -47,7 +47,7 @@ def extractor(*languages: str):
     return add
 
 
-# ---- Python --------------------------------------------------------------------------------------------------------
+# Python
 
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case, ast.Assert)
 _NEST = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
@@ -115,7 +115,7 @@ def python(text: str) -> tuple[list[str], list[Decl]]:
     return imports, out
 
 
-# ---- line scanners -------------------------------------------------------------------------------------------------
+# line scanners
 
 
 def blanked(text: str, line_comment: str = "//") -> str:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lattica.plans.registry import ORACLES, QUERIES
+from lattica.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
