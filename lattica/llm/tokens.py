@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Pieces of which the ids are kept in each of two generations: some 190 bytes each.
+KEEP = 650_000
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
 
 
@@ -35,14 +37,18 @@ class _Odd(Exception):
 class _Kept(dict):
     """Pieces -> ids, in two generations of at most `keep` pieces; lookups that hit the newer one stay in C."""
 
-    def __init__(self, ids_of, keep: int):
+    def __init__(self, encoder: Encoder, keep: int):
         super().__init__()
-        self.ids_of, self.keep, self.old = ids_of, keep, {}
+        self.keep, self.old, self.ids_of = keep, {}, encoder._piece
+        self.tokenize, self.space, self.code, self.lower = encoder.model.tokenize, encoder._space, encoder.code, encoder.drops_space
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.ids_of(piece)
+            if piece.isalpha() and piece.isascii():
+                ids = array(self.code, [t.id for t in self.tokenize(self.space + (piece.lower() if self.lower else piece))]).tobytes()
+            else:
+                ids = self.ids_of(piece)
         if len(piece) <= 64:
             if len(self) >= self.keep:
                 self.old = dict(self)
@@ -54,7 +60,7 @@ class _Kept(dict):
 class Encoder:
     """encode(text) -> ids as little-endian unsigned bytes of `width`, equal to the library's own encoding."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = KEEP):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
@@ -67,7 +73,7 @@ class Encoder:
         self._space = "" if self.drops_space else "Ġ"
         self._tails = {"": b""} | {c: self._full(c) for c in ".,"}
         self._newline = self._full("a\nb")[len(self._full("a")) : -len(self._full("b"))]
-        self.kept = _Kept(self._piece, keep)
+        self.kept = _Kept(self, keep)
 
     def _full(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
