@@ -25,7 +25,7 @@ def hotspots(m: DataFrame, limit: int = 20, min_complexity: int = 1, sort_by: st
 
 def _at(ordered: Column, i: Column) -> Column:
     """The value with place i (from 0) of a distribution: ascending (v, c) with the counts up to and including v."""
-    return F.filter(ordered, lambda x: x["upto"] > i)[0]["v"]
+    return F.get(F.filter(ordered, lambda x: x["upto"] > i), F.lit(0))["v"]
 
 
 def _distribution() -> Column:

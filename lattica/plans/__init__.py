@@ -1,4 +1,4 @@
-from . import index_queries  # noqa: F401
+from . import index_queries, wiki_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.stats import round1
-from ..operators import difference, graph, health
+from ..operators import difference, graph, health, order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,19 +163,16 @@ def k17_symbol_filter(t):
     return j.where("contains(lower(o_orderpriority), 'urgent') or l_shipdate >= timestamp_ntz '1998-06-01'").select("o_orderkey", "l_linenumber", "l_partkey")
 
 
-@_query(f"select path, row_number() over (order by string_split(path, '/'))::bigint as file_ord from {FILES} order by file_ord limit 200")
+@_query(f"select path, row_number() over (order by string_split(path, '/'))::bigint as file_ord from {FILES}")
 def k18_component_order(t):
-    # the first 200 by a distributed top-k, numbered after
-    top = _files(t).select("path").orderBy(F.split("path", "/")).limit(200)
-    return top.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("file_ord"))
+    return order.numbered(_files(t).select("path"), [F.split("path", "/")], "file_ord")
 
 
 @_query(f"""select doc_id, tokens, before from (select doc_id, tokens, coalesce(sum(tokens) over (partition by source order by importance, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before,
  sum(tokens) over (partition by source)::bigint as total from (select doc_id, source, ceil(size / 4.0::double)::bigint as tokens, 3 * length(lang) - lines // 100 as importance from {FILES})) where before >= total - 20000""")
 def k19_budget_drop(t):
     f = _files(t).select("doc_id", "source", X.token_estimate(F.col("text")).alias("tokens"), (3 * F.length("lang") - F.floor(F.col("lines") / 100)).alias("importance"))
-    w = Window.partitionBy("source").orderBy("importance", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    f = f.withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0)).cast("long")).withColumn("total", F.sum("tokens").over(Window.partitionBy("source")))
+    f = order.running(f, ["source"], [F.col("importance"), F.col("doc_id")], "tokens", "before", "total")
     return f.where(F.col("before") >= F.col("total") - 20000).select("doc_id", "tokens", "before")
 
 
@@ -185,15 +182,13 @@ def k20_short_docs(t):
 
 
 PATHS = r"(select distinct regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages)"
-HREFS = '''(select distinct unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as cand from pages)'''
+TAILS = "(select distinct regexp_extract(path, '([^/]+/[^/]+)$', 1) as cand from {PATHS})".replace("{PATHS}", PATHS)
 
 
-@_query(f"select cand, path from {HREFS} h join {PATHS} p on ends_with(p.path, h.cand) where length(cand) >= 3")
+@_query(f"select cand, path from {TAILS} h join {PATHS} p on ends_with(p.path, h.cand) where length(cand) >= 3")
 def k21_suffix_resolution(t):
-    pages = t("pages")
-    paths = pages.select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path")).distinct()
-    hrefs = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("cand"))
-    return graph.suffix_matches(hrefs, paths)
+    paths = t("pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path")).distinct()
+    return graph.suffix_matches(paths.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("cand")), paths)
 
 
 @_query("select s_suppkey, c.n as customers from supplier join (select c_nationkey, count(*)::bigint as n from customer group by 1) c on s_nationkey = c_nationkey")
@@ -203,9 +198,9 @@ def k22_relationship_edges(t):
 
 
 @_query(r"""select distinct doc_id as id, name from (select doc_id, unnest(list_distinct(regexp_split_to_array(text, '[^A-Za-z0-9_]+'))) as name from documents)
-where name in (select unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) from benchmark where item_id < 20) and length(name) >= 3""")
+where name in (select unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) from benchmark) and length(name) >= 3""")
 def k23_type_references(t):
-    names = t("benchmark").where("item_id < 20").select(F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("name")).where("length(name) >= 3")
+    names = t("benchmark").select(F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("name")).where("length(name) >= 3")
     return graph.word_references(t("documents").select(F.col("doc_id").alias("id"), "text"), names)
 
 
@@ -215,10 +210,10 @@ def k24_symbol_ids(t):
 
 
 def _edges(t) -> DataFrame:
-    return t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct().unionByName(t("lineitem").where("l_linenumber = 1").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct())
+    return t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct().unionByName(t("lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct())
 
 
-EDGES = "(select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem union all select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem where l_linenumber = 1)"
+EDGES = "(select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem union all select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem)"
 
 
 @_query(f"""with recursive e as {EDGES}, r(node, d) as (select 'p1', 0 union select e.dst, r.d + 1 from r join e on e.src = r.node where r.d < 2) select node, min(d)::int as distance from r group by 1""")
@@ -327,10 +322,10 @@ def k40_related_tests(t):
     return t("documents").select("doc_id", reason.alias("reason")).where("reason is not null").orderBy(rank, "doc_id").limit(20)
 
 
-@_query("""select p_name, min(p_partkey) as p_partkey from part group by 1 having count(*) = 1 union all select p_brand, min(p_partkey) from part where p_size = 7 group by 1 having count(*) = 1""")
+@_query("""select p_name, min(p_partkey) as p_partkey from part group by 1 having count(*) = 1 union all select p_brand || p_type || p_size || p_name, min(p_partkey) from part group by 1 having count(*) = 1""")
 def k41_unique_match(t):
     one = lambda df, c: df.groupBy(F.col(c).alias("p_name")).agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return one(t("part"), "p_name").unionByName(one(t("part").where("p_size = 7"), "p_brand"))
+    return one(t("part"), "p_name").unionByName(one(t("part").select("p_partkey", F.concat("p_brand", "p_type", "p_size", "p_name").alias("x")), "x"))
 
 
 @_query("select doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) as source_lines from documents")

@@ -79,3 +79,25 @@ def contents(t) -> DataFrame:
 
 
 CONTENTS = f"(select member, path, language, string_agg(case when depth > 0 then '  ' || signature || ' {{ {{ x }} }}' else signature || ' {{' end, chr(10) order by decl_ord) as text from {DECLS} d group by 1, 2, 3)"
+
+
+def pages(t) -> DataFrame:
+    """A wiki of documents: operators.wiki.PAGE but for the structs' other fields."""
+    d = t("documents").withColumn("w", F.split("text", " "))
+    path = lambda c: _PATH.replace("c % ", f"({c}) % ").replace(", c,", f", {c},").replace("case c ", f"case {c} ")
+    word = lambda i: f"get(w, {i})"
+    return d.selectExpr(
+        "doc_id as page_ord", "concat('p', doc_id) as id", "array_join(slice(w, 1, 4), ' ') as title", "case lang when 'en' then 'topic' when 'fr' then 'module' when 'de' then 'index' else 'entity' end as page_type",
+        f"array({path('doc_id % 1500')}, {path('(doc_id * 7) % 1500')}) as source_files", f"array(concat('fn:', {word(5)}), concat('struct:', {word(6)})) as covers",
+        "case when doc_id % 2 = 0 then array(struct('d' as description, case when doc_id % 3 = 0 then null else 'x' end as resolved_at)) else array() end as contradictions",
+        f"case when doc_id % 5 = 0 then array(struct('quiet' as symptom, 'x' as resolved_at), struct(concat({word(7)}, ' ', {word(8)}) as symptom, cast(null as string) as resolved_at)) else array() end as failures", "text as content",
+    )
+
+
+def _sql_path(c: str) -> str:
+    return f"('m' || ({c}) % 3 || '/n' || ({c}) % 25 || '/c' || ({c}) || case ({c}) % 4 when 0 then '.rs' when 1 then '.py' when 2 then '.ts' else '_test.go' end)"
+
+
+PAGES = f"""(select doc_id as page_ord, 'p' || doc_id as id, array_to_string(w[1:4], ' ') as title, case lang when 'en' then 'topic' when 'fr' then 'module' when 'de' then 'index' else 'entity' end as page_type,
+ [{_sql_path('doc_id % 1500')}, {_sql_path('(doc_id * 7) % 1500')}] as source_files, ['fn:' || w[6], 'struct:' || w[7]] as covers, case when doc_id % 2 = 0 then 1 else 0 end as contradictions, case when doc_id % 2 = 0 and doc_id % 3 = 0 then 1 else 0 end as open_contradictions,
+ case when doc_id % 5 = 0 then 2 else 0 end as failures, case when doc_id % 5 = 0 then 1 else 0 end as open_failures, case when doc_id % 5 = 0 then w[8] || ' ' || w[9] end as symptom, text as content from (select *, string_split(text, ' ') as w from documents) x)"""

@@ -19,3 +19,22 @@ def detect(path: str) -> str | None:
     if name in NONE:
         return None
     return NAMES.get(name) or (ENDINGS.get(name.rsplit(".", 1)[1]) if "." in name.lstrip(".") else None)
+
+
+_ALIASES = {
+    "rs": "Rust", "rust": "Rust", "py": "Python", "python": "Python", "ts": "TypeScript", "tsx": "TypeScript", "typescript": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "javascript": "JavaScript",
+    "go": "Go", "golang": "Go", "java": "Java", "c": "C", "cpp": "C++", "c++": "C++", "cxx": "C++", "cc": "C++", "sh": "Shell", "bash": "Shell", "zsh": "Shell", "shell": "Shell", "toml": "TOML", "yaml": "YAML", "yml": "YAML",
+    "json": "JSON", "sql": "SQL", "md": "Markdown", "markdown": "Markdown", "proto": "Protobuf", "protobuf": "Protobuf", "graphql": "GraphQL", "gql": "GraphQL", "rb": "Ruby", "ruby": "Ruby", "kt": "Kotlin", "kotlin": "Kotlin",
+    "swift": "Swift", "cs": "C#", "csharp": "C#", "c#": "C#", "objc": "Objective-C", "objective-c": "Objective-C", "objectivec": "Objective-C", "xml": "XML", "html": "HTML", "htm": "HTML", "css": "CSS", "scss": "CSS", "gradle": "Gradle",
+    "cmake": "CMake", "properties": "Properties",
+}
+
+
+def from_name(name: str) -> str | None:
+    """A language by any of its names, whatever the case; unknown: none."""
+    return _ALIASES.get(name.strip().lower())
+
+
+def chosen(names: list[str]) -> set[str]:
+    """The languages of a list of names; unknown ones are passed over, so a list of them alone chooses nothing."""
+    return {x for n in names if (x := from_name(n))}

@@ -78,7 +78,12 @@ def files(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def contents(listed: DataFrame) -> DataFrame:
-    """path, language, text of the files that can be read as UTF-8; line ends as they are."""
+    """path, language, text of the files that can be read as UTF-8; line ends as they are.
+
+    Tasks read the files themselves, so the tree must be in a folder that all of them see: a task that doesn't see a
+    file's folder ends with an error rather than without the file. Files that went away since the walk, or that aren't
+    UTF-8, have no row (see unread).
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -87,8 +92,16 @@ def contents(listed: DataFrame) -> DataFrame:
                 try:
                     with open(full, "rb") as f:
                         rows.append((path, language, f.read().decode("utf-8")))
-                except (OSError, UnicodeDecodeError):
+                except UnicodeDecodeError:
                     pass
+                except OSError as e:
+                    if not os.path.isdir(os.path.dirname(full)):
+                        raise OSError(f"{full} isn't to be seen from this executor: keep the tree in a shared folder") from e
             yield pd.DataFrame(rows, columns=["path", "language", "text"])
 
     return listed.select("path", "language", "full").repartition(max(1, listed.sparkSession.sparkContext.defaultParallelism)).mapInPandas(read, "path string, language string, text string")
+
+
+def unread(listed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The listed files that have no text."""
+    return listed.join(texts.select("path"), "path", "left_anti")
