@@ -65,16 +65,27 @@ def shingle_hashes(text: bytes) -> bytes:
     return b"".join([digest(line[s:e], 42) for s, e in zip(starts, (at[1:] - 1).tolist())])
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        parts = [shingle_hashes(t) for t in utf8(b.column("text"))]
-        h = np.frombuffer(b"".join(parts), ">u8").astype(U64)
-        fp = majority(h, np.array([len(p) // 8 for p in parts], np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+def word_hashes(text: bytes) -> bytes:
+    """XXH64 (seed 42, big-endian) of each different word, A-Z lower-cased. A replaced word moves one hash of these and two
+    of shingle_hashes, so copies with more edits stay within the same radius."""
+    return b"".join([xxhash.xxh64_digest(w, 42) for w in set(text.lower().split())])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; null or wordless texts have fingerprint 0. Map only."""
+UNITS = {"pairs": shingle_hashes, "words": word_hashes}
+
+
+def fingerprints(docs: DataFrame, unit: str = "pairs") -> DataFrame:
+    """(doc_id, fp) of every document, by its pairs of neighbouring words or its different words; null or wordless texts
+    have fingerprint 0. Map only."""
+    hashes = UNITS[unit]
+
+    def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            parts = [hashes(t) for t in utf8(b.column("text"))]
+            h = np.frombuffer(b"".join(parts), ">u8").astype(U64)
+            fp = majority(h, np.array([len(p) // 8 for p in parts], np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+
     return pick(docs, "doc_id", "text").mapInArrow(_fingerprint, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
@@ -288,7 +299,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 4, keep: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 4, keep: int = 2, unit: str = "pairs") -> DataFrame:
     """docs (doc_id, text) -> (doc_id, fp long, n_near long, component_id).
 
     n_near: other documents whose fingerprint differs in at most `radius` bits. component_id: the least doc_id
@@ -296,7 +307,7 @@ def near_duplicates(docs: DataFrame, radius: int = 6, blocks: int = 4, keep: int
     A null doc_id counts as a document and links others, but is never a component_id (null only if all are null).
     Repeated rows are documents of their own. Empty table: no rows. Other columns are ignored.
     """
-    fps = written(fingerprints(docs), "fingerprints")
+    fps = written(fingerprints(docs, unit), "fingerprints")
     groups = written(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "groups")
     found = near_groups(groups, radius, blocks, keep)
     found = written(found.groupBy("fp", "root").agg(F.sum("near").alias("near")), "links")

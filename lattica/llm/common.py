@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,23 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import shared_base
 
 U64 = np.uint64
-_own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder (URI) below the one that the session names in spark.checkpoint.dir, which all executors share.
-
-    Only where that is unset, as in tests on one machine, a temporary folder of our own is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="lattica-"))
-        base = _own_folder[0]
+    """A new folder (URI) below the one that all executors share (see storage.shared_base)."""
+    base = shared_base(spark)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

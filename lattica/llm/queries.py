@@ -61,9 +61,6 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-_pack = pack_documents
-
-
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countmin.without_repeats(_table(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
