@@ -31,10 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly one row of each component of near duplicates stays: that with the least (doc_id, hash of text), nulls last.
 
+    Linked are rows of which the fingerprints of their different words differ in at most 6 of 64 bits (copies with some
+    words replaced differ less in these than in pairs of words). Null and wordless texts are all one component; an empty
+    table has none.
+
     Decided by rows: a doc_id may stand for several texts, and rows may be equal or without a doc_id.
     """
     rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    found = ballhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
+    found = ballhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), unit="words").select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
     order = rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text"), ROW).alias("rank"))
     first = found.join(order, ROW).groupBy("component").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
     return rows.join(first, ROW, "left_semi").select(*docs.columns)
