@@ -116,7 +116,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 class _Known(dict):
     """A word -> the indices of those of its features that the vocabulary holds; emptied when it holds `cap` words."""
 
-    def __init__(self, vocabulary: dict[str, int], cap: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int], cap: int = 200_000):
         super().__init__()
         self.vocabulary, self.cap = vocabulary, cap
 
