@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from .difference import first_wins
 
-SUSPICIOUS = ("node_modules", "vendor", "third_party", "dist", "build", "target", "generated", "__pycache__")
-TWO_LEVELS = ("src", "packages", "crates", "apps", "libs", "lib")
+#: Folders that an index seldom wants, the first named counting.
+SUSPICIOUS = tuple("node_modules vendor dist build coverage .next .turbo .yarn".split())
+#: Folders of which the second level makes the groups.
+TWO_LEVELS = tuple("config docs extensions migrations review-ui scripts src tests".split())
 
 
 def group_key(path: Column, member: Column | None = None, deep: tuple[str, ...] = TWO_LEVELS) -> Column:
-    """The member, else the first folder, with the second below the `deep` ones; files of the root are together."""
+    """The member, else the first part of the path, with the second below the `deep` ones."""
     parts = F.split(path, "/")
-    own = F.when(F.size(parts) == 1, ".").when((F.size(parts) > 2) & parts[0].isin(*deep), F.concat_ws("/", parts[0], parts[1])).otherwise(parts[0])
+    own = F.when((F.size(parts) > 1) & parts[0].isin(*deep), F.concat_ws("/", parts[0], F.get(parts, F.lit(1)))).otherwise(parts[0])
     return own if member is None else F.coalesce(F.when(member != "", member), own)
 
 

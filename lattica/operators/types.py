@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-_PLAIN = set("str string i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char int float double long short byte void undefined null none any object number boolean self error".split())
+_PLAIN = set("any bool boolean byte char double error f32 f64 float i128 i16 i32 i64 i8 int isize long none null number object self short str string u128 u16 u32 u64 u8 undefined usize void".split())
 _NAME = re.compile(r"\w+")
 _OPEN, _CLOSE = "([{<", ")]}>"
-_MODIFIERS = set("pub fn async unsafe extern static inline virtual const constexpr explicit override public private protected internal final abstract synchronized native default sealed partial new suspend open func".split())
+_MODIFIERS = set("abstract async const constexpr default explicit extern final fn func inline internal native new open override partial private protected pub public sealed static suspend synchronized unsafe virtual".split())
 
 
 def type_names(text: str) -> list[str]:

@@ -15,7 +15,7 @@ from lattica import __main__ as cli
 from lattica import engine as E
 from lattica.operators import budget, preflight, trees, wiki
 from lattica.serving import http as H
-from lattica.serving import protocol
+from lattica.serving import protocol, writer
 from lattica.sinks import graphs, markdown, serialize
 from lattica.sources import cache, git, pull_request, walk, wiki_store, workspace
 from lattica.streaming import watch
@@ -202,6 +202,47 @@ def test_wiki(engine, tmp_path):
     assert {(r.pattern, r.path) for r in patterns} == {("lib.rs", "crates/a/src/lib.rs"), ("alpha/crates/a/src/lib.rs", "crates/a/src/lib.rs"), ("web/*.ts", "web/helper.ts"), ("web/*.ts", "web/new.ts")}
 
 
+def test_writer(engine, tmp_path):
+    """The wiki by a stand-in model: a plan with a gap, pages, an update after a commit."""
+    e, asked, old = engine, [], engine.wiki_folder
+    e.wiki_folder = str(tmp_path)
+    tries = [writer.Transient("busy")]
+
+    def ask(prompt):
+        if tries:
+            raise tries.pop()
+        asked.append(prompt)
+        return 'So: [{"id": "a/b", "title": "Parser", "page_type": "module", "source_files": ["mod.rs"]}]' if prompt.startswith("Plan") else "# Page\n\nSee [[architecture]].\n"
+
+    try:
+        slept = []
+        assert writer.patient(ask, sleep=slept.append)("Plan") and slept == [1.0]
+        ids = writer.generate(e, ask)
+        assert ids[0] == "a-b" and "architecture" in ids and len(asked) == len(ids) + 2
+        pages = {r.id: r for r in e.pages().collect()}
+        assert pages["a-b"].source_files == ["crates/a/src/parser/mod.rs"] and pages["a-b"].covers == ["function:parse"] and pages["a-b"].links_to == ["architecture"] and "[[a-b]]" in pages["index"].content
+        assert wiki.uncovered(e.files, e.pages()).count() == 0
+        assert "fn make" in next(p for p in asked if "Parser" in p and p.startswith("Write"))
+        done = writer.update(e, ask, "main")
+        assert done and "a-b" not in done
+        with pytest.raises(RuntimeError):
+            writer.generate(e, lambda p: '[{"a": }]')
+    finally:
+        e.wiki_folder = old
+    runs = []
+    auto = writer.AutoUpdate(lambda: runs.append(1), 0.1)
+    auto.start()
+    for _ in range(5):
+        auto.tell()
+        time.sleep(0.02)
+    time.sleep(0.6)
+    auto.stop()
+    assert runs == [1]
+    assert writer.command(["cat"])("x") == "x"
+    with pytest.raises(RuntimeError):
+        writer.command(["false"])("x")
+
+
 def test_protocol(engine):
     s = protocol.Server(engine)
     ask = lambda **x: json.loads(s.answer(json.dumps({"jsonrpc": "2.0", "id": 1, **x})))
