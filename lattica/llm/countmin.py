@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, filesystem, pack, pack_sorted, partitions, pick, shared_folder, slices, unpack, unpack_sorted, utf8, written
 
+#: Bytes of text that a task holds at once, with some thirty times as much beside them.
+CHUNK = 4 << 20
 _words: list[WordHashes] = []
 _MESSAGE = "slot int, chunk long, sketch int, path string, cells binary, more binary"
 _ARROW = pa.schema([("slot", pa.int32()), ("chunk", pa.int64()), ("sketch", pa.int32()), ("path", pa.string()), ("cells", pa.binary()), ("more", pa.binary())])
@@ -39,7 +41,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, _ARROW.types)], schema=_ARROW)
 
 
-def chunks(docs: DataFrame, folder: str, most: int = 4 << 20) -> DataFrame:
+def chunks(docs: DataFrame, folder: str, most: int = CHUNK) -> DataFrame:
     """docs (doc_id, text) -> written table (chunk, path) of Parquet files of about `most` bytes of text each.
 
     Only the files of attempts that ended are listed."""
@@ -272,10 +274,9 @@ def without_repeats(docs: DataFrame, k: int = 13, depth: int = 2, digest: bool =
     spark = docs.sparkSession
     folder, slots = shared_folder(spark, "texts"), partitions(spark)
     files = chunks(docs, folder)
-    # cells: at least four times the bytes of the input, hence many for each window
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    width = min(44, max(20, (size * 4).bit_length()))
     tasks = max(1, files.count())
+    # cells: at least four times the bytes of the texts, hence many for each window
+    width = min(44, max(20, (tasks * CHUNK * 4).bit_length()))
 
     def by_chunk(df: DataFrame) -> DataFrame:  # as many tasks as chunks: their texts weigh more than what is sent
         return df.repartition(tasks, "chunk").groupBy("chunk")
