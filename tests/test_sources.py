@@ -91,3 +91,15 @@ def test_reachable(spark):
     seeds = spark.createDataFrame([("a",)], "node string")
     for depth, want in ((0, {"a"}), (1, {"a", "b"}), (2, {"a", "b", "c"}), (None, {"a", "b", "c", "d"})):
         assert {r.node for r in graph.reachable(e, seeds, depth).collect()} == want
+
+
+def test_written_tables_are_cleaned(spark):
+    from lattica import storage
+    from lattica.operators import order
+
+    df = spark.createDataFrame([(i % 3, i) for i in range(50)], "k int, v int")
+    got = order.numbered(df, [F.col("v")], "n", 0).collect()
+    assert sorted((r.v, r.n) for r in got) == [(i, i) for i in range(50)]
+    sums = order.running(df, ["k"], [F.col("v")], "v", "before", "total").collect()
+    assert all(r.before == sum(range(r.k, r.v, 3)) and r.total == sum(range(r.k, 50, 3)) for r in sums)
+    assert storage.clean() >= 2 and storage.clean() == 0
