@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..storage import shared_base
+from ..storage import new_folder
 
 U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder (URI) below the one that all executors share (see storage.shared_base)."""
-    base = shared_base(spark)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder (URI) below the one that all executors share (see storage)."""
+    return new_folder(spark, name)
 
 
 def filesystem(uri: str):

@@ -33,7 +33,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+# from the token's beginning only, so a long token without a digit is read once
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*")
 _CUES = ({"mail", "email", "e-mail", "contact", "write"}, {"ip", "host", "address", "server"}, {"card", "visa", "mastercard", "amex", "cc"}, {"phone", "tel", "call", "fax", "mobile", "cell"})
 
 Span = tuple[int, str, int]

@@ -326,6 +326,18 @@ def test_long_texts_need_little_memory():
     assert peak < 40 * len(text)
 
 
+def test_one_huge_token_is_read_once():
+    """A megabyte without a blank or a digit, by itself and as a mailbox's or a secret's neighbour."""
+    start = time.time()
+    for text in ("x" * 1_000_000, "x." * 500_000 + "@", "Ab1" * 400_000, "token" * 200_000, "+1 " * 300_000, "1." * 400_000):
+        base = pii.base_spans(text)
+        pii.nodes(text, base)
+        secrets.scan(text)
+        simhash.fingerprint(text)
+        cotrain.layout(text), cotrain.content(text)
+    assert time.time() - start < 60
+
+
 def test_repeated_words_are_tiled_without_pairs():
     random.seed(2)
     for _ in range(60):
