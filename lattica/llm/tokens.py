@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces of which the ids are kept in each of two generations: some 190 bytes each.
-KEEP = 500_000
+KEEP = 400_000
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
 
 
