@@ -33,3 +33,12 @@ def test_pairs_of_edges_are_not_shuffled(spark):
     assert "Exchange" not in plan(edges).partition("Join")[0]
     want = [("a", "b", "Extends"), ("a", "b", "Implements"), ("a", "b2", "Extends"), ("a", "b2", "Implements"), ("a", "x", "Extends"), ("a", "x", "Implements"), ("b2", "b", "Implements"), ("b2", "x", "Implements"), ("x", "b", "Implements"), ("x", "b2", "Implements")]
     assert rows(edges) == want  # x stands under both names that b2 uses, and is linked once
+
+
+def test_pairs_of_references_are_not_shuffled(spark):
+    from lattica.operators import graph
+
+    symbols = spark.createDataFrame([("t", "Tree", "struct Tree"), ("t2", "Tree", "class Tree"), ("f", "f", "fn f(a: Tree, b: Tree) -> Leaf"), ("t", "Leaf", "struct Leaf")], "symbol_id string, name string, signature string")
+    edges = graph.reference_edges(symbols)
+    assert "Exchange" not in plan(edges).partition("Join")[0]
+    assert rows(edges) == [("f", "t", "References"), ("f", "t2", "References"), ("t", "t2", "References"), ("t2", "t", "References")]
