@@ -42,3 +42,9 @@ def test_pairs_of_references_are_not_shuffled(spark):
     edges = graph.reference_edges(symbols)
     assert "Exchange" not in plan(edges).partition("Join")[0]
     assert rows(edges) == [("f", "t", "References"), ("f", "t2", "References"), ("t", "t2", "References"), ("t2", "t", "References")]
+
+
+def test_references_of_all_files(spark):
+    assert "/n7/" not in ORACLES["i36_reference_edges"]
+    edges = QUERIES["i36_reference_edges"](spark, SF)
+    assert edges.where("not contains(src, '/n7/')").count() > 0 and edges.where("not contains(dst, '/n7/')").count() > 0
