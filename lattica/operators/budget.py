@@ -32,26 +32,41 @@ class Index:
     tree: DataFrame
 
 
-def declaration_tokens() -> Column:
+def declaration_tokens(comment: Column | None = None) -> Column:
     """Of one declaration: signature, comment, line and relationships, with the marks around them."""
     rels = F.aggregate(F.coalesce("relationships", F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, r: n + 3 + token_estimate(F.regexp_replace(r, "^[^ ]* ", "")))
-    doc = F.when(F.col("doc_comment").isNull(), 0).otherwise(2 + token_estimate(F.col("doc_comment")))
+    comment = F.col("doc_comment") if comment is None else comment
+    doc = F.when(comment.isNull(), 0).otherwise(2 + token_estimate(comment))
     return (3 + token_estimate(F.col("signature")) + doc + F.when(F.col("line") > 0, 5).otherwise(0) + rels).cast("long")
 
 
 def file_tokens(files: DataFrame, decls: DataFrame, imports: DataFrame) -> DataFrame:
     """files -> (member, path, tokens): its section's header, imports and declarations."""
-    parts = decls.select(*_KEYS, declaration_tokens().alias("t")).unionByName(imports.select(*_KEYS, (3 + token_estimate(F.col("text"))).alias("t")))
-    sums = parts.groupBy(*_KEYS).agg(F.sum("t").alias("t"))
-    return files.select(*_KEYS).join(sums, _KEYS, "left").select(*_KEYS, (15 + token_estimate(F.col("path")) + F.coalesce("t", F.lit(0))).cast("long").alias("tokens"))
+    return _file_tokens(files, decls, imports, {"tokens": F.col("doc_comment")})
+
+
+def _file_tokens(files: DataFrame, decls: DataFrame, imports: DataFrame, comments: dict[str, Column]) -> DataFrame:
+    """The tokens with each choice of comments, by its name."""
+    of_import = (3 + token_estimate(F.col("text"))).cast("long")
+    parts = decls.select(*_KEYS, *[declaration_tokens(c).alias(n) for n, c in comments.items()]).unionByName(imports.select(*_KEYS, *[of_import.alias(n) for n in comments]))
+    sums = parts.groupBy(*_KEYS).agg(*[F.sum(n).alias(n) for n in comments])
+    return files.select(*_KEYS).join(sums, _KEYS, "left").select(*_KEYS, *[(15 + token_estimate(F.col("path")) + F.coalesce(n, F.lit(0))).cast("long").alias(n) for n in comments])
 
 
 def index_tokens(ix: Index) -> int:
     """Of the whole index: header, tree and file sections."""
+    return _totals(ix, [F.col("doc_comment")])[0]
+
+
+def _totals(ix: Index, comments: list[Column]) -> list[int]:
+    """index_tokens with each choice of comments, in one reading."""
+    named = {f"t{i}": c for i, c in enumerate(comments)}
     head = 20 + -(-len(ix.name.encode()) // 4) + 30 + 10 + 15
-    tree = ix.tree.agg(F.coalesce(F.sum(token_estimate(F.col("name")) + F.col("depth") + 1), F.lit(0)).alias("t"))
-    files = file_tokens(ix.files, ix.decls, ix.imports).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
-    return head + sum(r.t for r in tree.unionByName(files).collect())
+    one = token_estimate(F.col("name")) + F.col("depth") + 1
+    tree = ix.tree.agg(F.coalesce(F.sum(one), F.lit(0)).alias("t")).select(*[F.col("t").alias(n) for n in named])
+    files = _file_tokens(ix.files, ix.decls, ix.imports, named).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in named])
+    rows = tree.unionByName(files).collect()
+    return [head + sum(r[n] for r in rows) for n in named]
 
 
 def importance(files: DataFrame, decls: DataFrame) -> DataFrame:
@@ -100,13 +115,14 @@ def flat(ix: Index) -> Index:
 def fitted(ix: Index, most: int) -> tuple[Index, int]:
     """The index at the first stage of which the estimate is at most `most`, and that stage (0: as it was; 5: the least
     important files went, which may still not suffice). What a dropped empty file's header cost isn't given back."""
-    total = index_tokens(ix)
-    if total <= most:
+    doc = F.col("doc_comment")
+    totals = _totals(ix, [doc, short_doc(doc), F.lit(None).cast("string")])  # the first stages only change comments
+    if totals[0] <= most:
         return ix, 0
     kept_files = ix.files
     for k, stage in enumerate((shortened, undocumented, without_private, flat), 1):
         ix = stage(ix)
-        total = index_tokens(replace(ix, files=kept_files))
+        total = totals[k] if k < len(totals) else index_tokens(replace(ix, files=kept_files))
         if total <= most:
             return ix, k
     files = without_least(ix.files, ix.decls, ix.imports, total - most)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import budget, difference, graph, health, order, preflight, search, trees, types
+from ..storage import saved
 from . import standins as S
 from .registry import ORACLES, QUERIES
 
@@ -199,8 +200,11 @@ def i29_budget_stages(t):
 
 @_query(f"select path, decl_ord, case when strlen(doc_comment) > 80 then regexp_replace(substring(split_part(doc_comment, chr(10), 1), 1, 80), '\\.+$', '') || '...' else doc_comment end as doc_comment from {D} d where depth = 0")
 def i30_budget_fits(t):
-    """The whole budget, with a limit that the first stage meets: the comments shortened, all else as it was."""
-    ix = budget.Index("root", S.files(t), S.decls(t), S.imports(t), trees.tree_entries(S.files(t)))
+    """The whole budget, with a limit that the first stage meets: the comments shortened, all else as it was. The index is
+    written once, as it is read for each estimate."""
+    decls = saved(S.decls(t).select("member", "path", "language", "decl_ord", "subtree_end", "depth", "visibility", "signature", "line", "doc_comment", "relationships"))
+    files = saved(S.files_of(decls))
+    ix = budget.Index("root", files, decls, S.imports(t), trees.tree_entries(files))
     first = budget.index_tokens(budget.shortened(ix))
     fitted, stage = budget.fitted(ix, first)
     if stage != 1:

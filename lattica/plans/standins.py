@@ -12,31 +12,40 @@ from pyspark.sql import functions as F
 _PATH = "concat('m', c % 3, '/n', c % 25, '/c', c, case c % 4 when 0 then '.rs' when 1 then '.py' when 2 then '.ts' else '_test.go' end)"
 
 
+#: Of the raw columns of an order (top) or a line, and of the path: so a filter of languages goes below the windows.
+_COLUMNS = {
+    "language": "case when endswith(path, '.rs') then 'Rust' when endswith(path, '.py') then 'Python' when endswith(path, '.ts') then 'TypeScript' else 'Go' end",
+    "kind": "case when top then case when status = 'P' then 'Trait' else 'Struct' end when flag = 'N' then 'Field' else 'Method' end",
+    "name": "case when top then concat('Order', k % 500) else concat(case when n = 7 then 'test_' else 'get_' end, 'part', a % 300) end",
+    "signature": "case when top then concat(case when status = 'P' then 'trait ' else 'struct ' end, 'Order', k % 500) when flag = 'N' then concat('part', a % 300, ': Order', a % 500) else concat('fn get(a: Order', a % 500, ', b: u32) -> Order', b % 500) end",
+    "visibility": "case when top then case status when 'F' then 'Private' when 'O' then 'Public' else 'PublicCrate' end when status = 'F' then 'Private' else 'Public' end",
+    "doc_comment": "case when top and k % 4 = 0 then concat('Keeps ', priority, ' rows.\n', repeat('More of Order. ', cast(k % 9 as int))) end",
+    "is_test": "case when top then false else n = 7 end", "is_deprecated": "case when top then false else n = 6 end",
+    "body_lines": "case when flag <> 'N' then cast(floor(price / 1000) as bigint) end", "cyclomatic": "case when flag <> 'N' then cast(floor(quantity) as bigint) end",
+    "nesting": "case when flag <> 'N' then cast(n as bigint) end", "params": "case when flag <> 'N' then cast(floor(discount * 100 + 0.5) as bigint) end",
+    "relationships": "case when top and k % 3 = 0 then array(concat('implements Order', (k * 7) % 500)) else cast(array() as array<string>) end",
+}
+
+
 def decls(t) -> DataFrame:
+    """Keys and numbers are shuffled, sorted and counted; texts are made of them afterwards."""
     o = t("orders").selectExpr(
-        "o_custkey as c", "o_orderkey as k", "0 as n", "0L as a", "0L as b", "0d as price", "case when o_orderstatus = 'P' then 'Trait' else 'Struct' end as kind", "concat('Order', o_orderkey % 500) as name",
-        "concat(case when o_orderstatus = 'P' then 'trait ' else 'struct ' end, 'Order', o_orderkey % 500) as signature", "case o_orderstatus when 'F' then 'Private' when 'O' then 'Public' else 'PublicCrate' end as visibility",
-        "case when o_orderkey % 4 = 0 then concat('Keeps ', o_orderpriority, ' rows.\n', repeat('More of Order. ', cast(o_orderkey % 9 as int))) end as doc_comment", "false as is_test", "false as is_deprecated",
-        "cast(null as bigint) as body_lines", "cast(null as bigint) as cyclomatic", "cast(null as bigint) as nesting", "cast(null as bigint) as params",
-        "case when o_orderkey % 3 = 0 then array(concat('implements Order', (o_orderkey * 7) % 500)) else cast(array() as array<string>) end as relationships",
+        "true as top", "o_custkey as c", "o_orderkey as k", "0 as n", "0L as a", "0L as b", "0d as price", "o_orderstatus as status", "o_orderpriority as priority",
+        "cast(null as string) as flag", "cast(null as double) as quantity", "cast(null as double) as discount",
     )
     lines = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "o_custkey as c", "l_orderkey as k", "l_linenumber as n", "l_partkey as a", "l_suppkey as b", "l_extendedprice as price", "case when l_returnflag = 'N' then 'Field' else 'Method' end as kind",
-        "concat(case when l_linenumber = 7 then 'test_' else 'get_' end, 'part', l_partkey % 300) as name",
-        "case when l_returnflag = 'N' then concat('part', l_partkey % 300, ': Order', l_partkey % 500) else concat('fn get(a: Order', l_partkey % 500, ', b: u32) -> Order', l_suppkey % 500) end as signature",
-        "case when l_linestatus = 'F' then 'Private' else 'Public' end as visibility", "cast(null as string) as doc_comment", "l_linenumber = 7 as is_test", "l_linenumber = 6 as is_deprecated",
-        *[f"case when l_returnflag <> 'N' then {x} end as {y}" for x, y in (("cast(floor(l_extendedprice / 1000) as bigint)", "body_lines"), ("cast(floor(l_quantity) as bigint)", "cyclomatic"), ("cast(l_linenumber as bigint)", "nesting"), ("cast(floor(l_discount * 100 + 0.5) as bigint)", "params"))],
-        "cast(array() as array<string>) as relationships",
+        "false as top", "o_custkey as c", "l_orderkey as k", "l_linenumber as n", "l_partkey as a", "l_suppkey as b", "l_extendedprice as price", "l_linestatus as status", "cast(null as string) as priority",
+        "l_returnflag as flag", "l_quantity as quantity", "l_discount as discount",
     )
-    d = o.unionByName(lines).withColumn("path", F.expr(_PATH)).withColumn("member", F.concat(F.lit("m"), F.col("c") % 3))
+    d = o.unionByName(lines).withColumn("path", F.expr(_PATH))
     ties = ["k", "n", "a", "b", "price"]
     d = d.withColumn("decl_ord", F.row_number().over(Window.partitionBy("path").orderBy(*ties)) - 1)
     own = Window.partitionBy("path", "k")
     d = d.withColumn("first_ord", F.min("decl_ord").over(own)).withColumn("last_ord", F.max("decl_ord").over(own))
     d = d.withColumn("parent_ord", F.when(F.col("n") > 0, F.col("first_ord"))).withColumn("depth", F.when(F.col("n") > 0, 1).otherwise(0))
     d = d.withColumn("subtree_end", F.when(F.col("n") > 0, F.col("decl_ord")).otherwise(F.col("last_ord"))).withColumn("line", F.col("decl_ord") + 1)
-    language = F.expr("case c % 4 when 0 then 'Rust' when 1 then 'Python' when 2 then 'TypeScript' else 'Go' end")
-    return d.withColumn("language", language).select("member", "path", "language", "decl_ord", "parent_ord", "depth", "subtree_end", "kind", "name", "signature", "visibility", "line", "doc_comment", "is_test", "is_deprecated", "body_lines", "cyclomatic", "nesting", "params", "relationships")
+    d = d.withColumns({"member": F.substring_index("path", "/", 1), **{name: F.expr(e) for name, e in _COLUMNS.items()}})
+    return d.select("member", "path", "language", "decl_ord", "parent_ord", "depth", "subtree_end", "kind", "name", "signature", "visibility", "line", "doc_comment", "is_test", "is_deprecated", "body_lines", "cyclomatic", "nesting", "params", "relationships")
 
 
 _SQL_PATH = _PATH.replace("concat('m', c % 3, '/n', c % 25, '/c', c, ", "('m' || c % 3 || '/n' || c % 25 || '/c' || c || ")
@@ -55,7 +64,10 @@ DECLS = f"""(select member, path, case c % 4 when 0 then 'Rust' when 1 then 'Pyt
 
 
 def files(t) -> DataFrame:
-    d = decls(t)
+    return files_of(decls(t))
+
+
+def files_of(d: DataFrame) -> DataFrame:
     return d.groupBy("member", "path", "language").agg(F.count("*").alias("lines"), F.sum(F.octet_length("signature") + 1).alias("size"))
 
 

@@ -48,3 +48,29 @@ def test_references_of_all_files(spark):
     assert "/n7/" not in ORACLES["i36_reference_edges"]
     edges = QUERIES["i36_reference_edges"](spark, SF)
     assert edges.where("not contains(src, '/n7/')").count() > 0 and edges.where("not contains(dst, '/n7/')").count() > 0
+
+
+def test_budget_reads_comments_once(spark, monkeypatch):
+    """The stages that only change comments are estimated in one reading."""
+    from lattica.operators import budget, trees
+
+    decls = spark.createDataFrame([("m", "a.rs", 0, 0, 0, "Public", "fn a()", 1, "x" * 400, ["implements B"])], "member string, path string, decl_ord int, subtree_end int, depth int, visibility string, signature string, line int, doc_comment string, relationships array<string>")
+    files = spark.createDataFrame([("m", "a.rs", 1)], "member string, path string, lines int")
+    imports = spark.createDataFrame([("m", "a.rs", 0, "use b;")], "member string, path string, import_ord int, text string")
+    ix = budget.Index("root", files, decls, imports, trees.tree_entries(files))
+    one = [budget.index_tokens(x) for x in (ix, budget.shortened(ix), budget.undocumented(ix))]
+    assert one[0] > one[1] > one[2]
+    calls, collect = [], type(decls).collect
+    monkeypatch.setattr(type(decls), "collect", lambda self: calls.append(1) or collect(self))
+    for stage, most in enumerate(one):
+        calls.clear()
+        assert budget.fitted(ix, most)[1] == stage and len(calls) == 1
+
+
+def test_declarations_are_shuffled_as_numbers(spark):
+    """Texts are made after the windows: no text but the path is part of the shuffle."""
+    from lattica.plans import standins as S
+
+    d = S.decls(lambda name: spark.read.parquet(f"{SF}/{name}.parquet"))
+    below = plan(d.select("path", "decl_ord", "signature", "name", "doc_comment")).partition("Exchange hashpartitioning(path")[2]
+    assert below and "struct " not in below and "get_" not in below and "More of" not in below
