@@ -74,3 +74,20 @@ def test_declarations_are_shuffled_as_numbers(spark):
     d = S.decls(lambda name: spark.read.parquet(f"{SF}/{name}.parquet"))
     below = plan(d.select("path", "decl_ord", "signature", "name", "doc_comment")).partition("Exchange hashpartitioning(path")[2]
     assert below and "struct " not in below and "get_" not in below and "More of" not in below
+
+
+def test_type_flow_takes_apart_what_names_the_type(spark, monkeypatch):
+    from lattica.operators import types
+
+    decls = spark.createDataFrame([("a.rs", "Rust", 0, "Function", "f", "fn f(a: TREE) -> Leaf", 1), ("a.rs", "Rust", 1, "Function", "g", "fn g(a: Leaf) -> tree", 2), ("a.rs", "Rust", 2, "Function", "h", "fn h(a: Leaf)", 3)], "path string, language string, decl_ord int, kind string, name string, signature string, line int")
+    seen, flows = [], types.flows
+    monkeypatch.setattr(types, "flows", lambda d, fields: seen.append(d.count()) or flows(d, fields))
+    assert [(r.role, r.name) for r in types.type_flow(decls, "Tree").collect()] == [("producer", "g"), ("consumer", "f")]
+    assert seen == [2]
+
+
+def test_language_is_filtered_below_the_windows(spark):
+    from lattica.plans import standins as S
+
+    d = S.decls(lambda name: spark.read.parquet(f"{SF}/{name}.parquet"))
+    assert "EndsWith" in plan(d.where("language = 'Rust'").select("path", "decl_ord")).partition("Window")[2]
