@@ -25,11 +25,23 @@ def declaration_diff(old: DataFrame, new: DataFrame, changed: DataFrame | None =
     only if they are given. file_change: added, removed or modified; files without a changed declaration have no row."""
     if changed is not None:
         old, new = (x.join(changed.select("path").distinct(), "path", "left_semi") for x in (old, new))
-    d = structural_diff(flattened(old), flattened(new), ["path", "kind", "name"], "signature")
-    before, after = (x.select("path").distinct().withColumn(c, F.lit(True)) for x, c in ((old, "was"), (new, "is")))
-    d = d.join(before, "path", "left").join(after, "path", "left")
-    state = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("modified")
-    return d.select("path", state.alias("file_change"), "kind", "name", "change", "old_value", "new_value")
+    keys = ["path", "kind", "name"]
+    side = lambda df, new: df.select(*keys, "signature", "decl_ord", (F.col("depth") <= 1).alias("flat"), F.lit(new).alias("new"))
+    # one grouping of both tables in place of joins; null keys equal nothing, so those of either side stay apart
+    lone = F.when(F.col("path").isNull() | F.col("kind").isNull() | F.col("name").isNull(), F.col("new"))
+    last = lambda at: F.max_by(F.when(at, F.col("signature")), F.when(at, F.col("decl_ord")))
+    of_old, of_new = ~F.col("new"), F.col("new")
+    d = side(old, False).unionByName(side(new, True)).groupBy(*keys, lone.alias("lone")).agg(
+        last(F.col("flat") & of_old).alias("old_value"), last(F.col("flat") & of_new).alias("new_value"),
+        F.coalesce(F.bool_or(F.col("flat") & of_old), F.lit(False)).alias("in_old"), F.coalesce(F.bool_or(F.col("flat") & of_new), F.lit(False)).alias("in_new"),
+        F.bool_or(of_old).alias("was"), F.bool_or(of_new).alias("is"),
+    )
+    file = Window.partitionBy("path")
+    d = d.withColumn("was", F.max("was").over(file)).withColumn("is", F.max("is").over(file))
+    state = F.when(F.col("path").isNull() | ~F.col("was"), "added").when(~F.col("is"), "removed").otherwise("modified")
+    change = F.when(~F.col("in_old"), "added").when(~F.col("in_new"), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "modified")
+    d = d.where("in_old or in_new").withColumn("file_change", state).withColumn("change", change).where("change is not null")
+    return d.select("path", "file_change", "kind", "name", "change", "old_value", "new_value")
 
 
 def in_order(diff: DataFrame) -> DataFrame:

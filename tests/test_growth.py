@@ -91,3 +91,17 @@ def test_language_is_filtered_below_the_windows(spark):
 
     d = S.decls(lambda name: spark.read.parquet(f"{SF}/{name}.parquet"))
     assert "EndsWith" in plan(d.where("language = 'Rust'").select("path", "decl_ord")).partition("Window")[2]
+
+
+def test_declaration_diff_without_joins(spark):
+    from lattica.operators import difference
+
+    schema = "path string, kind string, name string, signature string, decl_ord int, depth int"
+    old = spark.createDataFrame([("a", "F", "x", "1", 0, 0), ("a", "F", "x", "2", 1, 1), ("a", "F", "gone", None, 2, 0), ("a", "F", None, "n", 3, 0), ("b", "F", "y", "1", 0, 0), ("c", "F", "z", "1", 0, 5), (None, "F", "q", "1", 0, 0)], schema)
+    new = spark.createDataFrame([("a", "F", "x", "3", 0, 0), ("a", "F", None, "n", 3, 0), ("c", "F", "z", "1", 0, 0), ("d", "F", "w", None, 0, 0), (None, "F", "q", "1", 0, 0)], schema)
+    d = difference.declaration_diff(old, new)
+    assert "Join" not in plan(d)
+    assert rows(d) == sorted([
+        ("a", "modified", "F", "x", "modified", "2", "3"), ("a", "modified", "F", "gone", "removed", None, None), ("a", "modified", "F", None, "removed", "n", None), ("a", "modified", "F", None, "added", None, "n"),
+        ("b", "removed", "F", "y", "removed", "1", None), ("c", "modified", "F", "z", "added", None, "1"), ("d", "added", "F", "w", "added", None, None), (None, "added", "F", "q", "removed", "1", None), (None, "added", "F", "q", "added", None, "1"),
+    ], key=str)
