@@ -217,12 +217,12 @@ def with_near(rows: DataFrame, radius: int = 3, extra: int = 2, bits: int | None
 _SCHEMA = "part int, place int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, head string, text string"
 
 
-def with_next(docs: DataFrame, lanes: int = 2) -> DataFrame:
+def with_next(docs: DataFrame, lanes: int = 2, marks: bool = True) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The next document is the one after it by (doc_id, hash of text), nulls first; after the last: the first. Null text:
     as empty. Equal doc_ids follow one another. A single document is its own next. Empty table: no rows. Other columns
-    are ignored.
+    are ignored. Without `marks` nothing is fingerprinted, and what comes of fingerprints is null.
 
     One shuffle by ranges of doc_id. A task sees the next row of all its rows but the last; its first and last row (two
     a task) go through a second, small join.
@@ -235,15 +235,18 @@ def with_next(docs: DataFrame, lanes: int = 2) -> DataFrame:
 
     def finish(doc_id, text, fp, nxt, nfp):
         e = edit(text, nxt)
+        digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
+        if not marks:
+            return doc_id, len(text), digest, None, None, None, None
         efp = fp if e == text else fingerprint(e, lanes)
-        return doc_id, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fp.hex(), efp.hex(), likeness(fp, efp), likeness(fp, nfp)
+        return doc_id, len(text), digest, fp.hex(), efp.hex(), likeness(fp, efp), likeness(fp, nfp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
         for b in slices(batches):
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), strings(b.column("text"))):
-                fp = fingerprint(t, lanes)
+                fp = fingerprint(t, lanes) if marks else b""
                 if held is None:
                     rows.append((part, 0, d, None, None, fp.hex(), None, None, None, t, None))
                 else:

@@ -105,3 +105,13 @@ def test_declaration_diff_without_joins(spark):
         ("a", "modified", "F", "x", "modified", "2", "3"), ("a", "modified", "F", "gone", "removed", None, None), ("a", "modified", "F", None, "removed", "n", None), ("a", "modified", "F", None, "added", None, "n"),
         ("b", "removed", "F", "y", "removed", "1", None), ("c", "modified", "F", "z", "added", None, "1"), ("d", "added", "F", "w", "added", None, None), (None, "added", "F", "q", "removed", "1", None), (None, "added", "F", "q", "added", None, "1"),
     ], key=str)
+
+
+def test_edited_texts_without_fingerprints(spark):
+    from lattica.llm import simhash
+
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(50)] + [(50, None)], "doc_id long, text string").repartition(5)
+    plain, marked = simhash.with_next(docs, marks=False), simhash.with_next(docs)
+    own = ["doc_id", "n_chars", "edited_sha256"]
+    assert rows(plain.select(*own)) == rows(marked.select(*own)) and plain.count() == 51
+    assert plain.where("fingerprint is not null or edited_fingerprint is not null or near_edited is not null or near_next is not null").count() == 0
