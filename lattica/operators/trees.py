@@ -1,11 +1,12 @@
 """Tree-preserving filters on declarations in pre-order: (member, path, decl_ord, subtree_end, ...).
 
-"Has a matching descendant" and "is below a match" are joins on (member, path) with a range of decl_ord.
+"Has a matching descendant" and "is below a match" are running values over a file's declarations in order: one sort by
+(member, path, decl_ord), no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -13,26 +14,39 @@ from ..functions import text as X
 _KEYS = ["member", "path"]
 
 
-def _ranges(m: DataFrame) -> DataFrame:
-    return m.select(*_KEYS, F.col("decl_ord").alias("m_ord"), F.col("subtree_end").alias("m_end"))
+def _known() -> Column:
+    return F.col("member").isNotNull() & F.col("path").isNotNull() & F.col("decl_ord").isNotNull()
+
+
+def _holds(match: Column) -> Column:
+    """Whether a match lies from the row to its subtree's end: the next match is the nearest."""
+    later = Window.partitionBy(*_KEYS).orderBy(F.col("decl_ord").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.coalesce(_known() & (F.min(F.when(match, F.col("decl_ord"))).over(later) <= F.col("subtree_end")), F.lit(False))
+
+
+def _below(match: Column) -> Column:
+    """Whether the row lies from a match to the end of its subtree: the farthest end of those before decides."""
+    before = Window.partitionBy(*_KEYS).orderBy("decl_ord").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.coalesce(_known() & (F.max(F.when(match & F.col("decl_ord").isNotNull(), F.col("subtree_end"))).over(before) >= F.col("decl_ord")), F.lit(False))
+
+
+def _where(decls: DataFrame, keep: Column) -> DataFrame:
+    return decls.withColumn("_keep", keep).where("_keep").drop("_keep")
 
 
 def with_ancestors(decls: DataFrame, match: Column) -> DataFrame:
     """Matches and all that contain one."""
-    m = _ranges(decls.where(match))
-    return decls.join(m, [decls.member == m.member, decls.path == m.path, m.m_ord >= decls.decl_ord, m.m_ord <= decls.subtree_end], "left_semi")
+    return _where(decls, _holds(match))
 
 
 def with_descendants(decls: DataFrame, match: Column) -> DataFrame:
     """Matches and all below one."""
-    m = _ranges(decls.where(match))
-    return decls.join(m, [decls.member == m.member, decls.path == m.path, decls.decl_ord >= m.m_ord, decls.decl_ord <= m.m_end], "left_semi")
+    return _where(decls, _below(match))
 
 
 def without_subtrees(decls: DataFrame, match: Column) -> DataFrame:
     """Neither matches nor anything below one."""
-    m = _ranges(decls.where(match))
-    return decls.join(m, [decls.member == m.member, decls.path == m.path, decls.decl_ord >= m.m_ord, decls.decl_ord <= m.m_end], "left_anti")
+    return _where(decls, ~_below(match))
 
 
 def by_kind(decls: DataFrame, kinds: list[str]) -> DataFrame:
@@ -44,11 +58,9 @@ def public_only(decls: DataFrame) -> DataFrame:
 
 
 def by_symbol(decls: DataFrame, name: str) -> DataFrame:
-    """Matches with all above and below: one semi-join, so each row stays once."""
-    m = _ranges(decls.where(F.contains(F.lower("name"), F.lit(name.lower()))))
-    above = (m.m_ord >= decls.decl_ord) & (m.m_ord <= decls.subtree_end)
-    below = (decls.decl_ord >= m.m_ord) & (decls.decl_ord <= m.m_end)
-    return decls.join(m, (decls.member == m.member) & (decls.path == m.path) & (above | below), "left_semi")
+    """Matches with all above and below."""
+    match = F.contains(F.lower("name"), F.lit(name.lower()))
+    return _where(decls, _holds(match) | _below(match))
 
 
 def filter_index(files: DataFrame, decls: DataFrame, imports: DataFrame, path: str | None = None, kinds: list[str] | None = None, public: bool = False, symbol: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

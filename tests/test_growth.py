@@ -115,3 +115,29 @@ def test_edited_texts_without_fingerprints(spark):
     own = ["doc_id", "n_chars", "edited_sha256"]
     assert rows(plain.select(*own)) == rows(marked.select(*own)) and plain.count() == 51
     assert plain.where("fingerprint is not null or edited_fingerprint is not null or near_edited is not null or near_next is not null").count() == 0
+
+
+def test_tree_filters_without_joins(spark):
+    """Against the definition, on random trees, with two declarations at one place and unknown ends."""
+    from lattica.operators import trees
+
+    rnd = random.Random(8)
+    data = []
+    for f in range(12):
+        for o in range(15):
+            o2 = o - 1 if o and rnd.random() < 0.1 else o
+            data.append(("m", None if f == 11 else f"f{f}", o2, None if rnd.random() < 0.05 else o2 + rnd.randint(0, 4), rnd.choice(["A", "B", None]), rnd.choice(["Private", "Public", None]), rnd.choice(["part7", "x"]), len(data)))
+    d = spark.createDataFrame(data, "member string, path string, decl_ord int, subtree_end int, kind string, visibility string, name string, i int")
+
+    def near(r, test, above, below):
+        ok = lambda a, lo, hi: hi is not None and lo <= a <= hi
+        return any(test(m) and r[1] is not None and m[1] == r[1] and ((above and ok(m[2], r[2], r[3])) or (below and ok(r[2], m[2], m[3]))) for m in data)
+
+    ids = lambda df: sorted(r.i for r in df.collect())
+    for got, want in (
+        (trees.by_kind(d, ["A"]), lambda r: near(r, lambda m: m[4] == "A", True, False)),
+        (trees.public_only(d), lambda r: not near(r, lambda m: m[5] == "Private", False, True)),
+        (trees.by_symbol(d, "Part7"), lambda r: near(r, lambda m: m[6] == "part7", True, True)),
+        (trees.with_descendants(d, F.col("kind") == "A"), lambda r: near(r, lambda m: m[4] == "A", False, True)),
+    ):
+        assert "Join" not in plan(got) and ids(got) == [r[7] for r in data if want(r)]
