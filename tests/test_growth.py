@@ -141,3 +141,16 @@ def test_tree_filters_without_joins(spark):
         (trees.with_descendants(d, F.col("kind") == "A"), lambda r: near(r, lambda m: m[4] == "A", False, True)),
     ):
         assert "Join" not in plan(got) and ids(got) == [r[7] for r in data if want(r)]
+
+
+def test_an_import_is_taken_apart_once(spark, monkeypatch):
+    from lattica.operators import graph
+
+    files = spark.createDataFrame([("a/zebra.py",), ("b/yak.py",), ("b/zebra.py",), ("b/z/yak.py",)], "path string")
+    texts = ["import zebra", "import b::yak", "import { k } from './yak'", None, "import zebra"]
+    imports = spark.createDataFrame([(p, i, t) for p in ("a/zebra.py", "b/zebra.py", "c/q.py") for i, t in enumerate(texts)], "path string, import_ord int, text string")
+    written, saved = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: written.append(saved(df)) or written[-1])
+    got = rows(graph.resolve_imports(imports, files))
+    assert got == [("a/zebra.py", 1, "b/yak.py"), ("a/zebra.py", 2, "b/yak.py"), ("b/zebra.py", 0, "a/zebra.py"), ("b/zebra.py", 1, "b/yak.py"), ("b/zebra.py", 2, "b/yak.py"), ("b/zebra.py", 4, "a/zebra.py")] + [("c/q.py", 0, "a/zebra.py"), ("c/q.py", 1, "b/yak.py"), ("c/q.py", 2, "b/yak.py"), ("c/q.py", 4, "a/zebra.py")]
+    assert written[0].where("text = 'import b::yak'").count() == len(graph.candidates("import b::yak", "")) and {r.at for r in written[0].where("text = 'import zebra'").collect()} == {""}
