@@ -154,3 +154,8 @@ def test_an_import_is_taken_apart_once(spark, monkeypatch):
     got = rows(graph.resolve_imports(imports, files))
     assert got == [("a/zebra.py", 1, "b/yak.py"), ("a/zebra.py", 2, "b/yak.py"), ("b/zebra.py", 0, "a/zebra.py"), ("b/zebra.py", 1, "b/yak.py"), ("b/zebra.py", 2, "b/yak.py"), ("b/zebra.py", 4, "a/zebra.py")] + [("c/q.py", 0, "a/zebra.py"), ("c/q.py", 1, "b/yak.py"), ("c/q.py", 2, "b/yak.py"), ("c/q.py", 4, "a/zebra.py")]
     assert written[0].where("text = 'import b::yak'").count() == len(graph.candidates("import b::yak", "")) and {r.at for r in written[0].where("text = 'import zebra'").collect()} == {""}
+
+
+def test_flows_make_only_what_is_read(spark):
+    """The places of declarations aren't counted for a query that leaves them out."""
+    assert "Window" not in plan(QUERIES["i38_type_flows"](spark, SF))
