@@ -159,3 +159,11 @@ def test_an_import_is_taken_apart_once(spark, monkeypatch):
 def test_flows_make_only_what_is_read(spark):
     """The places of declarations aren't counted for a query that leaves them out."""
     assert "Window" not in plan(QUERIES["i38_type_flows"](spark, SF))
+
+
+def test_nodes_read_edges_once(spark, tmp_path):
+    from lattica.operators import graph
+
+    spark.createDataFrame([("a/b", "c"), ("x::y", "a/b")], "src string, dst string").write.parquet(str(tmp_path / "e"))
+    n = graph.nodes_of(spark.read.parquet(str(tmp_path / "e")))
+    assert plan(n).count("FileScan") == 1 and rows(n) == [("a/b", "b"), ("c", "c"), ("x::y", "y")]
