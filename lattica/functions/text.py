@@ -50,11 +50,17 @@ def score_match(text: Column, query: str) -> Column:
     terms, parts = query.split(), split_identifier(text)
     score = F.when(F.contains(text, F.lit(query)), 10).otherwise(0) + F.when(text == query, 20).otherwise(0)
     for t in terms:
-        score = score + F.when(F.contains(text, F.lit(t)), 5).otherwise(0) + F.when(F.array_contains(parts, t), 3).otherwise(0)
+        # a part that is the term stands in the text, so most texts are never split
+        part = F.contains(F.lower(text), F.lit(t)) & F.array_contains(parts, t) if t.isascii() else F.array_contains(parts, t)
+        score = score + F.when(F.contains(text, F.lit(t)), 5).otherwise(0) + F.when(part, 3).otherwise(0)
     if len(query) < 4:
         return score.cast("long")
-    near = bigram_similarity(text, F.lit(query))
-    fuzzy = F.when(near > 0.4, F.floor(8 * near)).otherwise(0)
+    grams = {query[i : i + 2] for i in range(len(query) - 1)}
+    both = sum((F.when(F.contains(text, F.lit(g)), 1).otherwise(0) for g in sorted(grams)), F.lit(0))
+    near = 2.0 * both / (F.size(bigrams(text)) + len(grams))
+    # bigram_similarity; a text has as many pairs as it shares, at least: only where that leaves enough are its own made
+    likely = (F.octet_length(text) >= 2) & (2.0 * both > 0.4 * (both + len(grams)))
+    fuzzy = F.when(likely, F.get(F.transform(F.array(near), lambda x: F.when(x > 0.4, F.floor(8 * x)).otherwise(0)), F.lit(0))).otherwise(0)
     return F.when(score == 0, fuzzy).otherwise(score).cast("long")
 
 

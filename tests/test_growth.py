@@ -167,3 +167,23 @@ def test_nodes_read_edges_once(spark, tmp_path):
     spark.createDataFrame([("a/b", "c"), ("x::y", "a/b")], "src string, dst string").write.parquet(str(tmp_path / "e"))
     n = graph.nodes_of(spark.read.parquet(str(tmp_path / "e")))
     assert plan(n).count("FileScan") == 1 and rows(n) == [("a/b", "b"), ("c", "c"), ("x::y", "y")]
+
+
+def test_scores_of_unlike_texts_are_cheap(spark):
+    """As by the whole formula, though pairs of characters aren't intersected."""
+    from lattica.functions import text as X
+
+    rnd = random.Random(12)
+    words = ["order42", "Order42", "ord", "o", "", "rder", "get_order42_x", "a-order42", "é", "orderé42", "order 42", "er42or", "ordr42", "odrer42", None] + ["".join(rnd.choice("order42_ xÉ") for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for q in ("order42", "or", "order 42", "élan42"):
+        terms, parts = q.split(), X.split_identifier(F.col("t"))
+        score = F.when(F.contains("t", F.lit(q)), 10).otherwise(0) + F.when(F.col("t") == q, 20).otherwise(0)
+        for t in terms:
+            score = score + F.when(F.contains("t", F.lit(t)), 5).otherwise(0) + F.when(F.array_contains(parts, t), 3).otherwise(0)
+        near = X.bigram_similarity(F.col("t"), F.lit(q))
+        fuzzy = F.when(near > 0.4, F.floor(8 * near)).otherwise(0)
+        want = score if len(q) < 4 else F.when(score == 0, fuzzy).otherwise(score)
+        got = df.select(X.score_match(F.col("t"), q).alias("got"), want.cast("long").alias("want"), "t")
+        assert [r for r in got.collect() if r.got != r.want] == []
+        assert "array_intersect" not in plan(df.select(X.score_match(F.col("t"), q)))
