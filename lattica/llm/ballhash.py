@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, pack, pack_sorted, partitions, pick, slices, unpack, unpack_sorted, utf8, written
+from .common import U64, pack, pack_sorted, partitions, pick, release, slices, unpack, unpack_sorted, utf8, written
 
 BITS = 64
 #: Verified pairs are merged into counts and roots when a task holds more than this many.
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, unit: str = "pairs") -> DataFrame:
     hashes = UNITS[unit]
 
     def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             parts = [hashes(t) for t in utf8(b.column("text"))]
             h = np.frombuffer(b"".join(parts), ">u8").astype(U64)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             yield b.slice(i, step)
 
 
+# what worker processes keep: they outlive their tasks and serve one operator after another
+
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: what was asked for last, made if it isn't there."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """For operators that keep nothing: what an earlier one kept in this worker process doesn't lie beside their own."""
+    if _held:
+        _held.clear()
+        gc.collect()  # what is kept may refer to itself
+
+
 class WordHashes(dict):
     """Words (bytes) -> index into two arrays of 64 hash bits each; emptied between uses when it holds `cap` words."""
 

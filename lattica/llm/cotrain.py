@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, strings, written
+from .common import pick, release, slices, strings, written
 
 #: At most so many labelled documents are fit on.
 LABELLED = 6000
@@ -222,6 +221,7 @@ def featured(docs: DataFrame, model: Model, known: DataFrame | None = None) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             rows = [model.features(*r) for r in _columns(b)]
             lists = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
@@ -243,6 +243,7 @@ def _exchange(features: DataFrame, model: Model, sure: float) -> dict[tuple[str,
     feature; -1: how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[tuple[str, str, int], np.ndarray] = {}
         for b in batches:
             rows, free = _arrays(b), ~b.column("known").to_numpy(zero_copy_only=False).astype(bool)
@@ -297,6 +298,7 @@ def _train(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int, sure:
     given = written(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "given")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             words, measures = [], []
             for t in strings(b.column("text")):
@@ -317,6 +319,7 @@ def _train(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int, sure:
     features = featured(docs, model, given)
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             rows = [model.features(*r) for r in _columns(b)]
             yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)], *[b.column(c) for c in (*HEADS, "fold")]], names=["words", "page", *HEADS, "fold"])
@@ -356,17 +359,22 @@ def _train(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int, sure:
 _FIELDS = ("quality_text", "quality_page", "p_quality", "toxic_text", "toxic_page", "p_toxic")
 
 
+def _verdicts(model: Model, b: pa.RecordBatch) -> pa.StructArray:
+    rows = [model.features(*r) for r in _columns(b)]
+    p = model.probabilities([_flat([r[i] for r in rows]) for i in (0, 1)], len(rows))
+    cols = [x for h in HEADS for x in p[h]]
+    return pa.StructArray.from_arrays([*map(pa.array, cols), pa.array((cols[2] >= 0.5) & (cols[5] < 0.5))], names=[*_FIELDS, "keep"])
+
+
 def score(model: Model, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
-    """A struct of the views' and the combined probabilities of each head, and keep: p_quality >= 0.5 > p_toxic."""
+    """A struct of the views' and the combined probabilities of each head, and keep: p_quality >= 0.5 > p_toxic.
+    A worker holds the features of a few MB of text at a time, whatever the size of its batches."""
     known = model
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in _FIELDS) + ", keep boolean")
-    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        clean = lambda x: None if x is None or x != x else x
-        rows = [known.features(clean(t), clean(a), clean(b), clean(c)) for t, a, b, c in zip(text, lang, source, n_chars)]
-        p = known.probabilities([_flat([r[i] for r in rows]) for i in (0, 1)], len(rows))
-        out = pd.DataFrame(dict(zip(_FIELDS, [x for h in HEADS for x in p[h]])), index=text.index, dtype=float)
-        return out.assign(keep=(out.p_quality >= 0.5) & (out.p_toxic < 0.5))
+    @F.arrow_udf(", ".join(f"{f} double" for f in _FIELDS) + ", keep boolean")
+    def run(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        release()
+        return pa.concat_arrays([_verdicts(known, b) for b in slices(iter([pa.RecordBatch.from_arrays([text, lang, source, n_chars], names=_META)]))])
 
     return run(text.cast("string"), lang.cast("string"), source.cast("string"), n_chars.cast("long"))
 
@@ -376,6 +384,7 @@ def scored(features: DataFrame, model: Model) -> DataFrame:
     kind = features.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             p = model.probabilities(_arrays(b), b.num_rows)
             cols = [x for h in HEADS for x in p[h]]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, strings
+from .common import pick, release, slices, strings
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "opaque", "endpoint")
@@ -213,6 +213,7 @@ def redact(text: str | None, mark: str = "<secret>", reach: int = REACH) -> str
 def redacted(text: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
+        release()
         return s.map(redact, na_action="ignore")
 
     return run(text)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, pick, slices, strings
+from .common import U64, pick, release, slices, strings
 
 LEAST, COVERAGE, BLOCK = 5, 0.5, 2_000_000
 #: Where an item and a document have more pairs of places than this for each token of either, matches are sought by an
@@ -260,6 +260,7 @@ def is_contaminated(text: Column, benchmark: DataFrame, least: int = LEAST, cove
 def _covered(known, coverage: float):
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
+        release()
         t = known.value
         return s.map(lambda x: any(t.coverage(i, tiles) >= coverage for i, tiles in t.match(tokens(x)))).astype(bool)
 

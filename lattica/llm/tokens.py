@@ -16,6 +16,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces of which the ids are kept in each of two generations: some 190 bytes each.
@@ -121,14 +123,11 @@ class Encoder:
 
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One per worker process, until another operator needs the memory (see common.held)."""
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def public(name: str) -> str:

@@ -6,17 +6,20 @@ import random
 import tempfile
 import time
 import tracemalloc
+import weakref
 from collections import Counter
 from datetime import date
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import ballhash, cotrain, frames, packing, pii, secrets, shuffle, simhash, tiling
+from lattica.llm import ballhash, cotrain, frames, packing, pii, secrets, shuffle, simhash, tiling, tokens
 from lattica.llm import queries as Q
 
 from .test_contract import brute_tiles
@@ -415,6 +418,47 @@ def test_exchange_counts_all_documents(spark):
         assert all(abs(r[c] - scores[r["doc_id"]][c]) < 1e-9 for c in cotrain._FIELDS)
 
 
+def test_scores_hold_the_features_of_a_few_texts_at_a_time(spark):
+    """A task's rows come to the column in one batch; of 24 MB of text at most 5 MB are held as features at once."""
+    most = 5 * 2**20 // 8000
+
+    class Watched(cotrain.Model):
+        def probabilities(self, rows, n):
+            assert n <= most, f"{n} documents' features at once"
+            return super().probabilities(rows, n)
+
+    model = Watched()
+    model.vocabulary = {"alpha": 0, "beta": 1}
+    model.heads = {h: {"text": (np.array([0.5, -1.0, 0.1]), ([1.0], 0.0)), "page": (np.r_[np.linspace(-0.1, 0.1, cotrain.PAGE), 0.2], ([1.0], 0.0)), "both": ([1.0, 0.5], 0.1)} for h in cotrain.HEADS}
+    text = lambda i: None if i % 100 == 0 else f"{'alpha ' if i % 2 else ''}{'beta ' if i % 3 else ''}{i} ".ljust(8000, "x")
+    docs = spark.range(3000).select(F.col("id").cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("n_chars"), "id")
+    docs = docs.coalesce(1).withColumn("text", F.when(F.col("id") % 100 > 0, F.rpad(F.concat(F.when(F.col("id") % 2 > 0, "alpha ").otherwise(""), F.when(F.col("id") % 3 > 0, "beta ").otherwise(""), F.col("id").cast("string"), F.lit(" ")), 8000, "x")))
+    got = docs.select("id", cotrain.score(model, *[F.col(c) for c in ("text", "lang", "source", "n_chars")]).alias("s")).collect()
+    assert sorted(r.id for r in got) == list(range(3000))
+    for r in got[::17]:
+        want = cotrain.Model.scores(model, text(r.id), str(r.id), None, r.id if r.id % 7 else None)
+        assert all(abs(r.s[c] - x) < 1e-9 for c, x in zip(cotrain._FIELDS, want)) and r.s.keep == (want[2] >= 0.5 > want[5])
+
+
+@pytest.mark.parametrize("stage", ["quality", "decontaminate", "secrets"])
+def test_stages_free_what_the_tokenizer_kept(stage, monkeypatch):
+    """Workers outlive their stage: a large cache of token ids must not lie beside the next stage's memory."""
+    for m in ("arrow_udf", "pandas_udf"):
+        monkeypatch.setattr(F, m, lambda *_: lambda f: lambda *_: f)
+    column = type("", (), {"cast": lambda self, _: self})()
+    path = tokens.public("word_bpe_49k.json")
+    kept = weakref.ref(tokens.encoder(path))
+    kept().encode("some words to keep")
+    assert tokens.encoder(path) is kept()
+    if stage == "quality":
+        cotrain.score(cotrain.Model(), *[column] * 4)(*[pa.array([x]) for x in ("text", "en", "web", 4)])
+    elif stage == "decontaminate":
+        tiling._covered(type("", (), {"value": tiling.Tiler([(1, ["a"] * 9)])})(), 0.5)(column)(pd.Series(["a text"]))
+    else:
+        secrets.redacted(column)(pd.Series(["a text"]))
+    assert kept() is None
+
+
 def test_copies_with_replaced_words_are_found(spark):
     """Of copies with one word in forty replaced at least three in four go; unlike documents all stay."""
     random.seed(11)
